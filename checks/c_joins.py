@@ -186,7 +186,7 @@ def _(t):
 pr AS (SELECT p.crop_key, p.point_id AS i, q.point_id AS j, p.x AS ax, p.y AS ay, q.x AS bx, q.y AS by_, crop_w AS w, crop_h AS h, abs(p.x-q.x) AS dx, abs(p.y-q.y) AS dy, p.depth+q.depth AS d
  FROM candidates p JOIN candidates q ON p.crop_key=q.crop_key AND p.point_id<q.point_id JOIN manifest m ON m.crop_key=p.crop_key),
 sc AS (SELECT *, round(d/(1+CASE WHEN h*100>w*115 THEN dy/(dx+0.0001::DOUBLE) WHEN w*100>h*115 THEN dx/(dy+0.0001::DOUBLE) ELSE 0 END),9) AS score FROM pr
- WHERE dx*dx+dy*dy>=400 AND CAST(dx*dx+dy*dy AS BIGINT)*10000<=(greatest(w,h)*95)*(greatest(w,h)*95) AND CASE WHEN h*100>w*115 THEN dy*10<=dx*8 WHEN w*100>h*115 THEN dx*10<=dy*8 ELSE true END)""", sql="""
+ WHERE dx*dx+dy*dy>=400 AND CAST(dx*dx+dy*dy AS BIGINT)*10000<=CAST(greatest(w,h)*95 AS BIGINT)*(greatest(w,h)*95) AND CASE WHEN h*100>w*115 THEN dy*10<=dx*8 WHEN w*100>h*115 THEN dx*10<=dy*8 ELSE true END)""", sql="""
 SELECT crop_key, score, ax, ay, bx, by_ AS "by" FROM sc QUALIFY row_number() OVER (PARTITION BY crop_key ORDER BY score DESC, i, j)=1""")
 def _(t):
     return J.best_pair(t.candidates, t.manifest)

@@ -40,7 +40,7 @@ def ioa_tiered(boxes: DataFrame, regions: DataFrame, page_w: int, page_h: int, g
              "r": F.least(F.lit(page_w), region["r"] + grow), "b": F.least(F.lit(page_h), region["b"] + grow)}
     tier = F.when(G.covered_at_least(a, region, 70), "strong").when(
         G.covered_at_least(a, region, 35), F.when(G.covered_at_least(a, grown, 60), "grown").otherwise("nearest"))
-    best = best.withColumn("tier", tier)
+    best = best.withColumn("tier", F.when(F.col("own_id").isNotNull(), tier))
     keep = best.where("tier IS DISTINCT FROM 'nearest'").select(*boxes.columns, "tier", F.when(F.col("tier").isNotNull(), F.col("own_id")).alias("region_id"))
     # The own region bounds the search radius for a nearer centre.
     reach = F.ceil(F.sqrt(G.center_dist2(a, region))).cast("int")

@@ -54,10 +54,10 @@ def keep_first(items: Column, clash: Callable[[Column, Column], Column]) -> Colu
 
 
 def greedy_keep(df: DataFrame, clash, *, order: dict[str, Column], row_id: str,
-                keys: Sequence[str] = ("page_id",), hot="find") -> DataFrame:
+                keys: Sequence[str] = ("page_id",), pad: int | Column = 0, hot="find") -> DataFrame:
     """Scan each page in ``order``; a row is dropped if it clashes with a kept one.
 
-    ``clash(kept, row)`` may hold only for rectangles that meet.
+    ``clash(kept, row)`` may hold only for rectangles that meet when both grow by ``pad``.
     """
     keys = list(keys)
     small, big = _split(df, keys, hot)
@@ -69,7 +69,7 @@ def greedy_keep(df: DataFrame, clash, *, order: dict[str, Column], row_id: str,
         return kept
     ranks = list(order)
     big = big.select("*", F.struct(*order.values()).alias("_rank"))
-    pairs = near_pairs(big, big, lambda a, b: (a["_rank"] < b["_rank"]) & clash(a, b), keys=keys)
+    pairs = near_pairs(big, big, lambda a, b: (a["_rank"] < b["_rank"]) & clash(a, b), keys=keys, pad=pad, pad_right=pad)
     lost = greedy_losers(pairs.select(*keys, F.col(f"a.{row_id}").alias("hi"), F.col(f"b.{row_id}").alias("lo")), keys)
     rest = big.drop("_rank").join(lost.withColumnRenamed("id", row_id), keys + [row_id], "left_anti")
     return kept.unionByName(rest.select(*df.columns))
@@ -90,7 +90,7 @@ def _grow_clusters(items: Column, near) -> Column:
 def cluster(df: DataFrame, near, *, row_id: str, pad: int | Column, keys: Sequence[str] = ("page_id",),
             label: str = "cluster_id", hot="find") -> DataFrame:
     """Label rows with the least ``row_id`` of their connected component under the symmetric
-    relation ``near(a, b)``, which must imply that the rectangles lie within ``pad`` pixels."""
+    relation ``near(a, b)``, which must imply that the rectangles meet when both grow by ``pad``."""
     keys = list(keys)
     small, big = _split(df, keys, hot)
     groups = (page_arrays(small, keys, {"_o": F.col(row_id)})
@@ -99,7 +99,7 @@ def cluster(df: DataFrame, near, *, row_id: str, pad: int | Column, keys: Sequen
     out = groups.select(*[c if c in keys else F.col("k")[c].alias(c) for c in df.columns], label)
     if big is None:
         return out
-    edges = near_pairs(big, big, lambda a, b: (a[row_id] < b[row_id]) & near(a, b), keys=keys, pad=pad)
+    edges = near_pairs(big, big, lambda a, b: (a[row_id] < b[row_id]) & near(a, b), keys=keys, pad=pad, pad_right=pad)
     comp = connected_components(
         edges.select(*keys, F.col(f"a.{row_id}").alias("u"), F.col(f"b.{row_id}").alias("v")), keys)
     labelled = (big.join(comp.select(*keys, F.col("id").alias(row_id), F.col("label").alias("_l")), keys + [row_id], "left")
@@ -107,11 +107,15 @@ def cluster(df: DataFrame, near, *, row_id: str, pad: int | Column, keys: Sequen
     return out.unionByName(labelled)
 
 
-def independent_blocks(df: DataFrame, *, row_id: str, pad: int = 0, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+def independent_blocks(df: DataFrame, *, row_id: str, pad: int = 0, keys: Sequence[str] = ("page_id",),
+                       flat: bool = False) -> DataFrame:
     """Add ``_block``: rows of different blocks stay more than ``pad`` pixels apart even after
-    every block is replaced by its enclosing rectangle, so unions never reach across blocks."""
+    every block is replaced by its enclosing rectangle, so unions never reach across blocks.
+    ``flat`` ignores the vertical position."""
     keys = list(keys)
     boxes = df.select(*keys, F.col(row_id).alias("_block"), "l", "t", "r", "b")
+    if flat:
+        boxes = boxes.withColumns({"t": F.lit(0), "b": F.lit(0)})
     labels = cut_lineage(df.select(*keys, F.col(row_id), F.col(row_id).alias("_block")))
     while True:
         edges = cut_lineage(
@@ -131,7 +135,7 @@ def independent_blocks(df: DataFrame, *, row_id: str, pad: int = 0, keys: Sequen
 
 
 def fold_pages(df: DataFrame, transform: Callable[[DataFrame, list[str]], DataFrame], *, row_id: str,
-               pad: int = 0, keys: Sequence[str] = ("page_id",), hot="find") -> DataFrame:
+               pad: int = 0, keys: Sequence[str] = ("page_id",), flat: bool = False, hot="find") -> DataFrame:
     """Run an order-dependent per-page ``transform(rows, keys)``. Hot pages are first cut into
     independent blocks and grouped by (page, block) instead."""
     keys = list(keys)
@@ -139,7 +143,7 @@ def fold_pages(df: DataFrame, transform: Callable[[DataFrame, list[str]], DataFr
     out = transform(small, keys)
     if big is None:
         return out
-    blocks = independent_blocks(big, row_id=row_id, pad=pad, keys=keys)
+    blocks = independent_blocks(big, row_id=row_id, pad=pad, keys=keys, flat=flat)
     return out.unionByName(transform(blocks, keys + ["_block"]).select(*out.columns))
 
 

@@ -12,49 +12,43 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pagelattice.functions.geometry import floor_div
+from pagelattice.functions.geometry import center_x, center_y, floor_div
+from pagelattice.session import cut_lineage
 
 TILE = 256
 
 
-def _tile_axis(lo: Column, hi: Column, pad, tile: int) -> Column:
-    return F.sequence(floor_div(lo - pad, tile), floor_div(F.greatest(lo, hi) + pad, tile))
-
-
 def _on_tiles(df: DataFrame, keys: Sequence[str], name: str, pad, tile: int) -> DataFrame:
+    """One row per tile the rectangle covers once grown by ``pad``; corners kept beside the row."""
+    grow = pad if isinstance(pad, Column) else F.lit(pad)
+    ends = {"l": F.col("l") - grow, "t": F.col("t") - grow,
+            "r": F.greatest("l", "r") + grow, "b": F.greatest("t", "b") + grow}
+    tiles = lambda lo, hi: F.explode(F.sequence(floor_div(ends[lo], tile), floor_div(ends[hi], tile)))
     return (
-        df.withColumn("_tx", F.explode(_tile_axis(F.col("l"), F.col("r"), pad, tile)))
-        .withColumn("_ty", F.explode(_tile_axis(F.col("t"), F.col("b"), pad, tile)))
+        df.select("*", tiles("l", "r").alias("_tx")).select("*", tiles("t", "b").alias("_ty"))
         .select(*[F.col(k).alias(f"_{name}_{k}") for k in keys],
                 F.col("_tx").alias(f"_{name}_tx"), F.col("_ty").alias(f"_{name}_ty"),
-                F.lit(pad).alias(f"_{name}_pad") if not isinstance(pad, Column) else pad.alias(f"_{name}_pad"),
-                F.struct(*df.columns).alias(name))
+                *[e.alias(f"_{name}_{s}") for s, e in ends.items()], F.struct(*df.columns).alias(name))
     )
 
 
 def near_pairs(left: DataFrame, right: DataFrame, on: Callable[[Column, Column], Column], *,
-               keys: Sequence[str] = ("page_id",), pad: int | Column = 0, how: str = "inner",
-               tile: int = TILE) -> DataFrame:
-    """Pairs ``a`` (left row) and ``b`` (right row) on one page whose rectangles meet when
-    ``a`` is grown by ``pad`` pixels, and that satisfy ``on(a, b)``.
+               keys: Sequence[str] = ("page_id",), pad: int | Column = 0, pad_right: int | Column = 0,
+               how: str = "inner", tile: int = TILE) -> DataFrame:
+    """Pairs ``a`` (left row) and ``b`` (right row) on one page whose rectangles meet when they
+    are grown by ``pad`` and ``pad_right`` pixels, and that satisfy ``on(a, b)``.
 
     With ``how="left"`` a left row shows up at least once, with null ``b`` in every tile
     that gave no match: fold it with an aggregate that skips nulls.
     """
-    lt = _on_tiles(left, keys, "a", pad, tile)
-    rt = _on_tiles(right, keys, "b", 0, tile)
-    a, b = F.col("a"), F.col("b")
-    grow = F.col("_a_pad")
-    first_x = F.greatest(a["l"] - grow, b["l"])
-    first_y = F.greatest(a["t"] - grow, b["t"])
-    cond = on(a, b)
+    lt, rt = _on_tiles(left, keys, "a", pad, tile), _on_tiles(right, keys, "b", pad_right, tile)
+    first_x, first_y = F.greatest("_a_l", "_b_l"), F.greatest("_a_t", "_b_t")
+    cond = on(F.col("a"), F.col("b"))
     cond = cond & (F.col("_a_tx") == F.col("_b_tx")) & (F.col("_a_ty") == F.col("_b_ty"))
     for k in keys:
         cond = cond & (F.col(f"_a_{k}") == F.col(f"_b_{k}"))
-    cond = (cond & (floor_div(first_x, tile) == F.col("_a_tx"))
-            & (floor_div(first_y, tile) == F.col("_a_ty"))
-            & (first_x <= F.least(F.greatest(a["l"], a["r"]) + grow, F.greatest(b["l"], b["r"])))
-            & (first_y <= F.least(F.greatest(a["t"], a["b"]) + grow, F.greatest(b["t"], b["b"]))))
+    cond = (cond & (floor_div(first_x, tile) == F.col("_a_tx")) & (floor_div(first_y, tile) == F.col("_a_ty"))
+            & (first_x <= F.least("_a_r", "_b_r")) & (first_y <= F.least("_a_b", "_b_b")))
     return lt.join(rt, cond, how).select(*[F.col(f"_a_{k}").alias(k) for k in keys], "a", "b")
 
 
@@ -85,3 +79,36 @@ def keep_matched(left, right, on, **kw) -> DataFrame:
 
 def drop_matched(left, right, on, **kw) -> DataFrame:
     return with_match_flag(left, right, on, name="_hit", **kw).where("NOT _hit").drop("_hit")
+
+
+def nearest_center(left: DataFrame, right: DataFrame, distance, *, row_id: str, right_id: str, pick: dict[str, str],
+                   keys: Sequence[str] = ("page_id",), start: int = 128) -> DataFrame:
+    """Every left row with the right row of the page whose centre is nearest by ``distance(a, b)``
+    (least id on ties), null where the page has none. ``distance`` may not be less than the
+    greater of the two axis distances.
+
+    Searches squares around the centre. A hit no farther than the square's half side is final;
+    only the other rows search again in a square four times as wide."""
+    keys = list(keys)
+    a = {s: F.col(s) for s in "ltrb"}
+    at = {"l": center_x(a), "t": center_y(a), "r": center_x(a), "b": center_y(a)}
+    keep = {f"_{s}": s for s in "ltrb"}
+    targets = right.select(*keys, right_id, *[F.col(s).alias(n) for n, s in keep.items()], *[e.alias(s) for s, e in at.items()])
+    names = list(dict.fromkeys(pick.values()))
+    sides = {s: f"_{s}" for s in "ltrb"}
+    has = left.join(targets.select(*keys).distinct(), keys, "left_semi")
+    none = left.join(targets.select(*keys).distinct(), keys, "left_anti")
+    out = none.select("*", *[F.lit(None).cast(right.schema[src].dataType).alias(new) for new, src in pick.items()])
+    rest = has.select(*left.columns, *[F.col(s).alias(f"_own_{s}") for s in "ltrb"]).withColumns(at)
+    reach = start
+    while True:
+        found = best_match(rest, targets, lambda p, q: distance(p, q) <= reach, pad=reach, keys=keys,
+                           rank=lambda p, q: [distance(p, q), q[right_id]],
+                           pick={f"_p_{n}": sides.get(n, n) for n in names} | {"_hit": right_id})
+        found = cut_lineage(found)
+        done = found.where("_hit IS NOT NULL").withColumns({s: F.col(f"_own_{s}") for s in "ltrb"})
+        out = out.unionByName(done.select(*left.columns, *[F.col(f"_p_{src}").alias(new) for new, src in pick.items()]))
+        rest = found.where("_hit IS NULL").select(*rest.columns)
+        if rest.isEmpty():
+            return out
+        reach *= 4
