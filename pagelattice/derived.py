@@ -69,7 +69,7 @@ FROM lineitem""",
     "actions": """
 SELECT event_id AS seq, ts, 'batch_' || CAST(user_id AS STRING) AS batch,
  'x' || CAST(user_id AS STRING) || '_' || CAST(CAST(floor(value*100) AS BIGINT)%8 AS STRING) AS bubble_id,
- CASE event_type WHEN 'signup' THEN 'flag_conjoined' WHEN 'click' THEN 'annotate_single'
+ CASE event_type WHEN 'signup' THEN 'flag_conjoined' WHEN 'click' THEN CASE CAST(floor(value*10) AS BIGINT)%4 WHEN 0 THEN 'verify' WHEN 1 THEN 'reject' ELSE 'annotate_single' END
   WHEN 'purchase' THEN 'annotate_conjoined' WHEN 'error' THEN 'discard' ELSE 'undo' END AS action
 FROM events""",
     "stage_times": """

@@ -95,10 +95,13 @@ def inked_in(box, region) -> Column:
     return G.holds_center(region, box) | ((G.intersection(box, region) > 0) & (G.intersection(box, region) * 100 >= G.area(box) * 45))
 
 
-def empty_regions(boxes: DataFrame, lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """Regions that hold boxes but own no in-region line, with a box no in-region line covers."""
+def empty_regions(boxes: DataFrame, lines: DataFrame, regions: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Regions that hold boxes but own no in-region line, with a box no in-region line covers.
+    ``owners`` may give the (page_id, region_id) of regions that own lines."""
     inside = lines.where("category = 'BUBBLED'")
-    owners = exact_then_max(inside, regions).where("region_id IS NOT NULL").select("page_id", "region_id").distinct()
+    if owners is None:
+        owners = exact_then_max(inside, regions).where("region_id IS NOT NULL")
+    owners = owners.select("page_id", "region_id").distinct()
     bare = regions.join(owners, ["page_id", "region_id"], "left_anti")
     return keep_matched(bare, uncovered(boxes, inside), lambda g, b: inked_in(b, g))
 

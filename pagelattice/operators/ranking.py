@@ -32,8 +32,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], buckets: S
         here = here.drop("_n")
         offsets = here if offsets is None else offsets.join(here, parent + [own])
     if total:
-        offsets = offsets.join(level.withColumnRenamed("_n", total), by) if by else \
-            offsets.crossJoin(level.withColumnRenamed("_n", total))
+        offsets = offsets.join(level.withColumnRenamed("_n", total), by)
     numbered = F.row_number().over(W.partitionBy(*by, *bcols).orderBy(*order))
     shift = sum((F.col(f"_o{d}") for d in range(1, len(bcols) + 1)), F.lit(0))
     out = rows.join(offsets, by + bcols)
@@ -94,3 +93,17 @@ def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket
     pick = {n: (F.coalesce(c, F.col(f"_e_{n}")) if only_set else F.when(first, F.col(f"_e_{n}")).otherwise(c))
             for n, c in here.items()}
     return joined.select(*df.columns, *[c.alias(n) for n, c in pick.items()])
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[str], bucket: Column, how: str, value: str, name: str,
+            include_row: bool = True) -> DataFrame:
+    """Running ``sum``, ``min`` or ``max`` of ``value`` within ``by`` in ``order``. Rows are scanned
+    inside (key, bucket); what the earlier buckets contribute comes from one row per bucket."""
+    by = list(by)
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
+    both = {"sum": lambda p, q: F.coalesce(p, F.lit(0)) + F.coalesce(q, F.lit(0)), "min": F.least, "max": F.greatest}[how]
+    rows = df.withColumn("_b", bucket)
+    before = rows.groupBy(*by, "_b").agg(agg(value).alias("_t")).select(
+        *by, "_b", agg("_t").over(W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)).alias("_e"))
+    inside = W.partitionBy(*by, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0 if include_row else -1)
+    return rows.join(before, by + ["_b"]).select(*df.columns, both(F.col("_e"), agg(value).over(inside)).alias(name))
