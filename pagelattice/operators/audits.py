@@ -15,6 +15,7 @@ from pagelattice.operators.filters import script_glyphs
 from pagelattice.operators.joins import empty_regions, uncovered
 from pagelattice.operators.ranking import with_previous
 from pagelattice.operators.spatial import best_match, near_pairs
+from pagelattice.session import cut_lineage
 
 OWNER = ["page_id", "region_id"]
 
@@ -121,7 +122,8 @@ VIOLATIONS = ["column_fragmentations", "column_pitch_violations", "width_choking
 def page_ledger(boxes: DataFrame, lines: DataFrame, regions: DataFrame, partitions: DataFrame) -> DataFrame:
     """All audit counters per page and their total. ``boxes`` and ``lines`` carry a category."""
     units = page_char_width(boxes)
-    owned = audited_lines(lines, regions, boxes)
+    # Five audits read the assigned lines; write them once.
+    owned = cut_lineage(audited_lines(lines, regions, boxes))
     n = lambda d, name: d.groupBy("page_id").agg(F.count(F.lit(1)).alias(name))
     parts = [
         units.withColumnRenamed("char_width", "global_char_w"), n(boxes, "m1_box_count"), n(regions, "bubble_count"),
@@ -130,8 +132,10 @@ def page_ledger(boxes: DataFrame, lines: DataFrame, regions: DataFrame, partitio
         n(uncovered(boxes.select("page_id", "box_id", *"ltrb"), lines), "dropped_box_count"),
         n(empty_regions(boxes.select("page_id", "box_id", *"ltrb"), lines, regions, owners=owned), "empty_bubbles_with_ink"),
     ]
-    wide = reduce(lambda p, q: p.join(q, "page_id", "full"), parts)
-    wide = wide.select("page_id", *[F.coalesce(c, F.lit(26 if c == "global_char_w" else 0)).alias(c) for c in wide.columns if c != "page_id"])
+    # Every part has one row per page: stack them and fold per page, one shuffle instead of a join each.
+    stacked = reduce(lambda p, q: p.unionByName(q, allowMissingColumns=True), parts)
+    names = [c for c in stacked.columns if c != "page_id"]
+    wide = stacked.groupBy("page_id").agg(*[F.coalesce(F.max(c), F.lit(26 if c == "global_char_w" else 0)).alias(c) for c in names])
     return wide.withColumn("total_violations", reduce(lambda p, q: p + q, [F.col(c) for c in VIOLATIONS]))
 
 
