@@ -59,7 +59,7 @@ used AS (SELECT c.* FROM cuts c WHERE EXISTS (SELECT 1 FROM cand x WHERE x.page_
 regular AS (SELECT * FROM regions g WHERE NOT EXISTS (SELECT 1 FROM used c WHERE c.page_id=g.page_id AND {inter('g','c')}*100>70*{area('g')})),
 free AS (SELECT x.* FROM cand x WHERE NOT EXISTS (SELECT 1 FROM lob WHERE lob.page_id=x.page_id AND lob.line_id=x.line_id)),
 bst AS (SELECT x.*, arg_min(g, [-{inter('x','g')}, g.region_id]) FILTER (WHERE {inter('x','g')}>0) AS g FROM free x LEFT JOIN regular g ON g.page_id=x.page_id GROUP BY ALL),
-inn AS (SELECT *, coalesce({holds('g','bst')} OR {inter('bst','g')}*100>=40*{area('bst')}, false) AS hit FROM (SELECT page_id, line_id, l,t,r,b, g FROM bst) bst),
+inn AS (SELECT *, g IS NOT NULL AND coalesce({holds('g','bst')} OR {inter('bst','g')}*100>=40*{area('bst')}, false) AS hit FROM (SELECT page_id, line_id, l,t,r,b, g FROM bst) bst),
 rest AS (SELECT page_id, line_id, l,t,r,b FROM inn WHERE NOT hit),
 mw AS (SELECT page_id, list_sort(list(greatest(r-l,10)))[count(*)//2+1] AS cw FROM cand GROUP BY page_id),
 sized AS (SELECT * FROM rest JOIN mw USING (page_id)),

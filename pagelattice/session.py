@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate files, below the shared checkpoint folder."""
+    cut_lineage(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
