@@ -70,9 +70,22 @@ def id_differences(source: DataFrame, annotated: DataFrame, key: str) -> DataFra
         a.join(s, key, "left_anti").withColumn("side", F.lit("orphaned")))
 
 
+def six_decimals(v: Column) -> Column:
+    """A value in 0..1 as text, rounded on its exact binary value with ties to even.
+
+    ``format_string`` rounds the shortest decimal half up instead. Splitting the value in two
+    halves of its bits keeps the distance to the tie free of rounding."""
+    n = F.floor(v * 1_000_000)
+    high = v * 134_217_729.0 - (v * 134_217_729.0 - v)
+    beyond = (high * 2_000_000.0 - (n * 2 + 1)) + (v - high) * 2_000_000.0
+    up = (beyond > 0) | ((beyond == 0) & (n % 2 == 1))
+    n = n + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0"))
+
+
 def pose_label(width: str, height: str) -> Column:
     """Label line: class, full-crop box, two clamped key points with visibility 2 or zeros."""
-    share = lambda c, size: F.format_string("%.6f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col(size))))
+    share = lambda c, size: six_decimals(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col(size))))
     head = F.concat(F.when(F.col("is_conjoined"), "0").otherwise("1"), F.lit(" 0.500000 0.500000 1.000000 1.000000 "))
     points = F.concat_ws(" ", share("x0", width), share("y0", height), F.lit("2"), share("x1", width), share("y1", height), F.lit("2"))
     return F.concat(head, F.when(F.col("is_conjoined") & F.col("x0").isNotNull(), points).otherwise("0.000000 0.000000 0 0.000000 0.000000 0"))
