@@ -30,14 +30,13 @@ def compose(lines: Column) -> Column:
     hyphen, dash or middle dot, otherwise one space."""
     parts = F.filter(F.transform(lines, strip), lambda x: x != "")
 
-    def glue(acc, x):
-        tight = (acc == "") | acc.rlike(f"[{JOINERS}]$") | (acc.rlike(f"[{CJK}]$") & x.rlike(f"^[{CJK}]"))
-        return F.when(tight, F.concat(acc, x)).otherwise(F.concat(acc, F.lit(" "), x))
-
-    # Only the last character decides, so the fold carries (text so far as parts, last part).
-    pairs = F.transform(parts, lambda x, i: F.when(i == 0, x).otherwise(
-        F.substring(glue(F.get(parts, i - 1), x), F.length(F.get(parts, i - 1)) + 1, F.lit(2_147_483_647))))
-    return F.array_join(pairs, "")
+    # Only the characters on both sides of a seam decide, so each part is looked at once.
+    def glued(x, before):
+        last, first = F.right(before, F.lit(1)), F.substring(x, 1, 1)
+        tight = (before == "") | last.rlike(f"[{JOINERS}]") | (last.rlike(f"[{CJK}]") & first.rlike(f"[{CJK}]"))
+        return F.when(tight, x).otherwise(F.concat(F.lit(" "), x))
+
+    return F.array_join(F.zip_with(parts, F.concat(F.array(F.lit("")), parts), glued), "")
 
 
 def join_tight(lines: Column) -> Column:

@@ -51,8 +51,8 @@ def primary_region(lines: DataFrame, regions: DataFrame) -> DataFrame:
                       pick={"region_id": "region_id", "gl": "l", "gt": "t", "gr": "r", "gb": "b"}).where("region_id IS NOT NULL")
 
 
-def audited_lines(lines: DataFrame, regions: DataFrame, boxes: DataFrame) -> DataFrame:
-    units = region_char_width(boxes, regions, page_char_width(boxes))
+def audited_lines(lines: DataFrame, regions: DataFrame, boxes: DataFrame, page_units: DataFrame | None = None) -> DataFrame:
+    units = region_char_width(boxes, regions, page_char_width(boxes) if page_units is None else page_units)
     return primary_region(lines, regions).join(units, OWNER)
 
 
@@ -109,25 +109,22 @@ def snap_failures(partitions: DataFrame) -> DataFrame:
         F.count_if(whole & (far("p1") | far("p2"))).alias("waist_snap_failures"))
 
 
-def category_counts(df: DataFrame, prefix: str, suffix: str = "") -> DataFrame:
-    n = lambda c: F.count_if(F.col("category") == c)
-    return df.groupBy("page_id").agg(n("BUBBLED").alias(f"{prefix}_bubbled{suffix}"), n("ORPHAN").alias(f"{prefix}_orphan{suffix}"),
-                                     n("SFX").alias(f"{prefix}_sfx{suffix}"))
-
-
 VIOLATIONS = ["column_fragmentations", "column_pitch_violations", "width_choking_count", "boundary_bleed_count",
               "gutter_crossover_count", "waist_snap_failures", "dropped_box_count", "empty_bubbles_with_ink"]
 
 
 def page_ledger(boxes: DataFrame, lines: DataFrame, regions: DataFrame, partitions: DataFrame) -> DataFrame:
     """All audit counters per page and their total. ``boxes`` and ``lines`` carry a category."""
-    units = page_char_width(boxes)
+    n_of = lambda c: F.count_if(F.col("category") == c)
+    tally = lambda prefix, suffix, total: [F.count(F.lit(1)).alias(total), n_of("BUBBLED").alias(f"{prefix}_bubbled{suffix}"),
+                                           n_of("ORPHAN").alias(f"{prefix}_orphan{suffix}"), n_of("SFX").alias(f"{prefix}_sfx{suffix}")]
+    units = cut_lineage(page_char_width(boxes))
     # Five audits read the assigned lines; write them once.
-    owned = cut_lineage(audited_lines(lines, regions, boxes))
+    owned = cut_lineage(audited_lines(lines, regions, boxes, units))
     n = lambda d, name: d.groupBy("page_id").agg(F.count(F.lit(1)).alias(name))
     parts = [
-        units.withColumnRenamed("char_width", "global_char_w"), n(boxes, "m1_box_count"), n(regions, "bubble_count"),
-        category_counts(boxes, "m1_5"), n(lines, "m2_lines_total"), category_counts(lines, "m2", "_lines"),
+        units.withColumnRenamed("char_width", "global_char_w"), n(regions, "bubble_count"),
+        boxes.groupBy("page_id").agg(*tally("m1_5", "", "m1_box_count")), lines.groupBy("page_id").agg(*tally("m2", "_lines", "m2_lines_total")),
         fragmentation(owned), pitch_and_gutter(owned), choke_and_bleed(owned), ruby_leaks(lines, units), snap_failures(partitions),
         n(uncovered(boxes.select("page_id", "box_id", *"ltrb"), lines), "dropped_box_count"),
         n(empty_regions(boxes.select("page_id", "box_id", *"ltrb"), lines, regions, owners=owned), "empty_bubbles_with_ink"),

@@ -83,16 +83,17 @@ def six_decimals(v: Column) -> Column:
     return F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0"))
 
 
-def pose_label(width: str, height: str) -> Column:
-    """Label line: class, full-crop box, two clamped key points with visibility 2 or zeros."""
-    share = lambda c, size: six_decimals(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col(size))))
-    head = F.concat(F.when(F.col("is_conjoined"), "0").otherwise("1"), F.lit(" 0.500000 0.500000 1.000000 1.000000 "))
-    points = F.concat_ws(" ", share("x0", width), share("y0", height), F.lit("2"), share("x1", width), share("y1", height), F.lit("2"))
-    return F.concat(head, F.when(F.col("is_conjoined") & F.col("x0").isNotNull(), points).otherwise("0.000000 0.000000 0 0.000000 0.000000 0"))
-
-
 def to_pose_labels(crops: DataFrame, width: str = "crop_w", height: str = "crop_h") -> DataFrame:
-    return canonical_points(crops).withColumn("label", pose_label(width, height))
+    """Label line per crop: class, full-crop box, two clamped key points with visibility 2, or zeros."""
+    share = lambda c, size: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c) / F.col(size)))
+    d = canonical_points(crops)
+    # Shares and their texts in steps of their own, so that none is computed more than once.
+    d = d.withColumns({"_" + c: share(c, width if c[0] == "x" else height) for c in ("x0", "y0", "x1", "y1")})
+    d = d.withColumns({"_" + c: six_decimals(F.col("_" + c)) for c in ("x0", "y0", "x1", "y1")})
+    points = F.concat_ws(" ", "_x0", "_y0", F.lit("2"), "_x1", "_y1", F.lit("2"))
+    head = F.concat(F.when(F.col("is_conjoined"), "0").otherwise("1"), F.lit(" 0.500000 0.500000 1.000000 1.000000 "))
+    label = F.concat(head, F.when(F.col("is_conjoined") & F.col("x0").isNotNull(), points).otherwise("0.000000 0.000000 0 0.000000 0.000000 0"))
+    return d.withColumn("label", label).drop("_x0", "_y0", "_x1", "_y1")
 
 
 def training_labels(crops: DataFrame, seed: int, **limits) -> DataFrame:

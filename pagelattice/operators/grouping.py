@@ -14,9 +14,10 @@ from pyspark.sql.types import StructType
 from pagelattice.functions import geometry as G
 from pagelattice.operators import rectlists as R
 from pagelattice.operators.joins import center_first, center_or_overlap
-from pagelattice.operators.pagefold import cluster, fold, fold_pages, greedy_keep, hot_pages, map_arrays, page_arrays
+from pagelattice.operators.pagefold import cluster, fold, fold_pages, greedy_keep, hot_pages, let, map_arrays, page_arrays
 from pagelattice.operators.ranking import with_previous
 from pagelattice.operators.spatial import best_match, near_pairs, nearest_center
+from pagelattice.session import cut_lineage
 
 SIDES = ("l", "t", "r", "b")
 
@@ -64,10 +65,10 @@ def fold_union(boxes: DataFrame, percent: int = 65, row_id: str = "region_id", h
     enlarges the first such, else it is kept. The result keeps the id of the first member."""
     def scan(rows, keys):
         def step(kept, x):
-            at = F.array_position(F.transform(kept, lambda k: G.containment_over(k, x, percent)), True)
-            grown = F.transform(kept, lambda k, i: F.when(i + 1 == at, F.struct(
+            first = F.array_position(F.transform(kept, lambda k: G.containment_over(k, x, percent)), True)
+            grown = lambda at: F.transform(kept, lambda k, i: F.when(i + 1 == at, F.struct(
                 k[row_id].alias(row_id), *[c.alias(s) for s, c in G.union_rect(k, x).items()])).otherwise(k))
-            return F.when(at > 0, grown).otherwise(F.concat(kept, F.array(x)))
+            return let(first, lambda at: F.when(at > 0, grown(at)).otherwise(F.concat(kept, F.array(x))))
         arrays = page_arrays(rows.select(*keys, row_id, *SIDES), keys, {})
         return arrays.select("page_id", F.inline(fold(F.col("items"), step)))
 
@@ -262,10 +263,10 @@ def absorb_near(units: DataFrame, boxes: DataFrame, reach: int = 6, percent: int
     def scan(d, keys):
         def step(us, x):
             hit = lambda u: G.holds_center(u, x) | G.containment_over(u, x, percent) | ((G.gap_x(u, x) <= reach) & (G.gap_y(u, x) <= reach))
-            at = F.array_position(F.transform(us, hit), True)
-            return F.transform(us, lambda u, i: F.when(i + 1 == at, F.struct(
+            grown = lambda at: F.transform(us, lambda u, i: F.when(i + 1 == at, F.struct(
                 u["kind"].alias("kind"), u["id"].alias("id"), *[c.alias(s) for s, c in G.union_rect(u, x).items()],
                 u["row_id"].alias("row_id"), (u["n"] + 1).alias("n"))).otherwise(u))
+            return let(F.array_position(F.transform(us, hit), True), lambda at: F.when(at > 0, grown(at)).otherwise(us))
         arrays = page_arrays(d, keys, {})
         start = F.filter("items", lambda i: i["kind"] == 0)
         out = F.aggregate(F.filter("items", lambda i: i["kind"] == 1), start, step)
@@ -296,12 +297,12 @@ def ruby_absorb(boxes: DataFrame, by: Sequence[str] = ("page_id", "region_id"),
         def step(acc, x):
             aligned = F.exists(main, lambda m: G.center_dx(m, x) * 100 <= x["cw"] * 38)
             side = lambda k: (G.overlap_y(k, x) > 0) & (G.center_dx(k, x) * 100 >= x["cw"] * 38) & (G.center_dx(k, x) * 100 <= x["cw"] * 140)
-            at = F.array_min(F.transform(acc, lambda k, i: F.when(side(k), F.struct(G.center_dx(k, x).alias("d"), i.alias("i")))))["i"]
-            grown = F.transform(acc, lambda k, i: F.when(i == at, F.struct(
+            closest = F.array_min(F.transform(acc, lambda k, i: F.when(side(k), F.struct(G.center_dx(k, x).alias("d"), i.alias("i")))))["i"]
+            grown = lambda at: F.transform(acc, lambda k, i: F.when(i == at, F.struct(
                 k["_o"].alias("_o"), k[row_id].alias(row_id), *[c.alias(s) for s, c in G.union_rect(k, x).items()],
                 k["cw"].alias("cw"), k["n_all"].alias("n_all"), k["n_narrow"].alias("n_narrow"),
                 (k["absorbed"] + 1).alias("absorbed"))).otherwise(k))
-            return F.when(aligned | at.isNull(), F.concat(acc, F.array(x))).otherwise(grown)
+            return let(F.when(aligned, F.lit(None)).otherwise(closest), lambda at: F.when(at.isNull(), F.concat(acc, F.array(x))).otherwise(grown(at)))
 
         done = F.aggregate(F.filter("items", narrow), main, step)
         first = F.get("items", F.lit(0))
@@ -325,10 +326,11 @@ def ruby_absorb_gap(boxes: DataFrame, by: Sequence[str] = ("page_id", "region_id
         arrays = page_arrays(rows, keys, {"_o": F.col(row_id)})
 
         def step(acc, x):
-            at = F.array_position(F.transform(acc, lambda k: (G.overlap_y(k, x) > 0) & (G.gap_x(k, x) <= gap)), True)
-            return F.transform(acc, lambda k, i: F.when(i + 1 == at, F.struct(
+            first = F.array_position(F.transform(acc, lambda k: (G.overlap_y(k, x) > 0) & (G.gap_x(k, x) <= gap)), True)
+            grown = lambda at: F.transform(acc, lambda k, i: F.when(i + 1 == at, F.struct(
                 k["_o"].alias("_o"), k[row_id].alias(row_id), *[c.alias(s) for s, c in G.union_rect(k, x).items()],
                 k["cw"].alias("cw"), k["n_all"].alias("n_all"), k["n_narrow"].alias("n_narrow"))).otherwise(k))
+            return let(first, lambda at: F.when(at > 0, grown(at)).otherwise(acc))
 
         done = F.aggregate(F.filter("items", narrow), F.filter("items", lambda x: ~narrow(x)), step)
         return arrays.select(*by, F.inline(done)).select(
@@ -530,10 +532,13 @@ def columns_in_region(boxes: DataFrame, regions: DataFrame, hot="find") -> DataF
     Clip to the region, unite nested boxes, find the region's own width unit, absorb ruby, then
     build the columns. ``absorbed`` is the ruby count of the region."""
     by = ["page_id", "region_id"]
+    boxes = cut_lineage(boxes)
+    if hot == "find":  # no later step adds boxes to a region
+        hot = hot_pages(boxes, by)
     d = boxes.join(regions.select(*by, *[F.col(s).alias("g" + s) for s in SIDES]), by)
     clipped = d.select(*by, "box_id", F.greatest("l", "gl").alias("l"), F.greatest("t", "gt").alias("t"),
                        F.least("r", "gr").alias("r"), F.least("b", "gb").alias("b")).where("r - l >= 6 AND b - t >= 6")
-    united = merge_overlaps(clipped, "nested", 8, keys=by, hot=hot)
+    united = cut_lineage(merge_overlaps(clipped, "nested", 8, keys=by, hot=hot))
     page_unit = boxes.groupBy("page_id").agg(F.max("cw").alias("pw"))
     a = G.rect()
     own = united.groupBy(*by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN b - t >= 16 AND r - l >= 12 THEN r - l END DESC)").alias("m"))
@@ -554,6 +559,8 @@ def columns_outside(boxes: DataFrame, hot="find") -> DataFrame:
     """Columns of boxes outside regions, per page and kind; needs ``category`` and ``cw``."""
     d = boxes.withColumn("is_effect", F.col("category") == "SFX")
     keys = ["page_id", "is_effect"]
+    if hot == "find":
+        hot = hot_pages(d, keys)
     united = merge_overlaps(d, "nested", 8, keys=keys, hot=hot)
     units = boxes.groupBy("page_id").agg(F.max("cw").alias("cw"))
     rows = united.join(units, "page_id").withColumn("_d", ~F.col("is_effect"))

@@ -47,6 +47,12 @@ def fold(items: Column, step: Callable[[Column, Column], Column]) -> Column:
     return F.aggregate(items, F.slice(items, 1, 0), step)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``: lambda bodies have no common
+    subexpression elimination, and a repeated search per element would square the work."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def keep_first(items: Column, clash: Callable[[Column, Column], Column]) -> Column:
     """Keep an element unless it clashes with a kept one."""
     return fold(items, lambda kept, x: F.when(F.exists(kept, lambda k: clash(k, x)), kept)
@@ -75,14 +81,16 @@ def greedy_keep(df: DataFrame, clash, *, order: dict[str, Column], row_id: str,
     return kept.unionByName(rest.select(*df.columns))
 
 
-def _grow_clusters(items: Column, near) -> Column:
-    """Array of arrays: each element joins, and thereby merges, every cluster it is near to."""
-    start = F.slice(F.array(items), 1, 0)
+def _merge_neighbours(items: Column) -> Column:
+    """Groups of ids from elements (id, earlier neighbour ids): each element unites all groups that
+    hold one of its neighbours."""
+    start = F.slice(F.transform(items, lambda x: x["near"]), 1, 0)
 
     def step(groups, x):
-        touches = lambda g: F.exists(g, lambda k: near(k, x))
-        return F.concat(F.filter(groups, lambda g: ~touches(g)),
-                        F.array(F.concat(F.flatten(F.filter(groups, touches)), F.array(x))))
+        flagged = F.transform(groups, lambda g: F.struct(F.arrays_overlap(g, x["near"]).alias("hit"), g.alias("g")))
+        ids = lambda fs, hit: F.transform(F.filter(fs, lambda f: f["hit"] if hit else ~f["hit"]), lambda f: f["g"])
+        return let(flagged, lambda fs: F.concat(ids(fs, False), F.array(
+            F.array_union(F.flatten(ids(fs, True)), F.concat(x["near"], F.array(x["id"]))))))
 
     return F.aggregate(items, start, step)
 
@@ -90,21 +98,24 @@ def _grow_clusters(items: Column, near) -> Column:
 def cluster(df: DataFrame, near, *, row_id: str, pad: int | Column, keys: Sequence[str] = ("page_id",),
             label: str = "cluster_id", hot="find") -> DataFrame:
     """Label rows with the least ``row_id`` of their connected component under the symmetric
-    relation ``near(a, b)``, which must imply that the rectangles meet when both grow by ``pad``."""
+    relation ``near(a, b)``, which must imply that the rectangles meet when both grow by ``pad``.
+
+    The relation is tested in one tiled join for all pages. Only rows with a neighbour go on:
+    to a fold over id lists per ordinary page, to iterated aggregates for hot ones."""
     keys = list(keys)
-    small, big = _split(df, keys, hot)
-    groups = (page_arrays(small, keys, {"_o": F.col(row_id)})
-              .select(*keys, F.explode(_grow_clusters(F.col("items"), near)).alias("g"))
-              .select(*keys, F.array_min(F.transform("g", lambda k: k[row_id])).alias(label), F.explode("g").alias("k")))
-    out = groups.select(*[c if c in keys else F.col("k")[c].alias(c) for c in df.columns], label)
-    if big is None:
-        return out
-    edges = near_pairs(big, big, lambda a, b: (a[row_id] < b[row_id]) & near(a, b), keys=keys, pad=pad, pad_right=pad)
-    comp = connected_components(
-        edges.select(*keys, F.col(f"a.{row_id}").alias("u"), F.col(f"b.{row_id}").alias("v")), keys)
-    labelled = (big.join(comp.select(*keys, F.col("id").alias(row_id), F.col("label").alias("_l")), keys + [row_id], "left")
-                .select(*df.columns, F.coalesce("_l", row_id).alias(label)))
-    return out.unionByName(labelled)
+    df = cut_lineage(df)  # read three times below
+    pairs = near_pairs(df, df, lambda a, b: (a[row_id] < b[row_id]) & near(a, b), keys=keys, pad=pad, pad_right=pad)
+    edges = pairs.select(*keys, F.col(f"a.{row_id}").alias("u"), F.col(f"b.{row_id}").alias("v"))
+    if hot == "find":
+        hot = hot_pages(df, keys)
+    small, big = _split(edges, keys, hot)
+    lists = small.groupBy(*keys, F.col("v").alias("id")).agg(F.collect_list("u").alias("near"))
+    groups = page_arrays(lists, keys, {"_o": F.col("id")}).select(*keys, F.explode(_merge_neighbours(F.col("items"))).alias("g"))
+    found = groups.select(*keys, F.array_min("g").alias("_l"), F.explode("g").alias(row_id))
+    if big is not None:
+        comp = connected_components(big, keys)
+        found = found.unionByName(comp.select(*keys, F.col("label").alias("_l"), F.col("id").alias(row_id)))
+    return df.join(found, keys + [row_id], "left").select(*df.columns, F.coalesce("_l", row_id).alias(label))
 
 
 def independent_blocks(df: DataFrame, *, row_id: str, pad: int = 0, keys: Sequence[str] = ("page_id",),
@@ -122,7 +133,7 @@ def independent_blocks(df: DataFrame, *, row_id: str, pad: int = 0, keys: Sequen
             near_pairs(boxes, boxes, lambda a, b: a["_block"] < b["_block"], keys=keys, pad=pad)
             .select(*keys, F.col("a._block").alias("u"), F.col("b._block").alias("v")))
         if edges.isEmpty():
-            return df.join(labels, keys + [row_id])
+            return df.join(labels, keys + [row_id]).select(*df.columns, "_block")
         comp = connected_components(edges, keys)
         step = comp.select(*keys, F.col("id").alias("_block"), F.col("label").alias("_to"))
         labels = cut_lineage(labels.join(step, keys + ["_block"], "left")

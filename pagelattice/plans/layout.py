@@ -40,11 +40,11 @@ def extract_lines(boxes: DataFrame, regions: DataFrame, page_w: int = 512, page_
     boxes = boxes.select("page_id", "box_id", *SIDES)
     if hot == "find":
         hot = hot_pages(boxes)
-    envelopes = GR.dedup_first(regions.select("page_id", "region_id", *SIDES), 60, "region_id")
-    placed = J.center_first(boxes, envelopes)
+    envelopes = cut_lineage(GR.dedup_first(regions.select("page_id", "region_id", *SIDES), 60, "region_id"))
+    placed = cut_lineage(J.center_first(boxes, envelopes))
     inside = GR.ruby_absorb_gap(placed.where("region_id >= 0"), hot=None if hot is None else "find")
     stray = placed.where("region_id < 0").drop("region_id")
-    clusters = GR.reach_seeded(stray, 250, hot=hot) if seeded else GR.reach_clusters(stray, 250, hot=hot)
+    clusters = cut_lineage(GR.reach_seeded(stray, 250, hot=hot) if seeded else GR.reach_clusters(stray, 250, hot=hot))
     key = (-1 - F.col("cluster_id")).alias("region_id")
     frames = envelopes.unionByName(GR.cluster_bounds(clusters).select("page_id", key, *SIDES))
     every = inside.select("page_id", "region_id", "box_id", *SIDES).unionByName(clusters.select("page_id", key, "box_id", *SIDES))
@@ -64,7 +64,8 @@ def prepare_groups(lines: DataFrame, regions: DataFrame, cuts: DataFrame, page_w
     reading order; ``line_order`` counts the lines of a group."""
     lines = lines.where("category <> 'SFX'").select("page_id", "line_id", *SIDES)
     lines = GR.with_char_width(lines, 10, 1_000_000, 24, size=F.greatest(G.width(G.rect()), F.lit(10)))
-    sides = half_plane(lines, cuts)
+    lines = cut_lineage(lines)
+    sides = cut_lineage(half_plane(lines, cuts))
     lobe = sides.groupBy("page_id", "line_id").agg(F.min(F.struct("region_id", "lobe")).alias("m")).select("page_id", "line_id", "m.region_id", "m.lobe")
     used = cuts.join(sides.select("page_id", "region_id").distinct(), ["page_id", "region_id"], "left_semi")
     regular = drop_matched(regions.select("page_id", "region_id", *SIDES), used.select("page_id", *SIDES),
