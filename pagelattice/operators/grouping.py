@@ -406,7 +406,7 @@ def region_exclusion(lines: DataFrame, regions: DataFrame) -> DataFrame:
     inside = lines.where("category = 'BUBBLED'")
     held = best_match(inside, regions, lambda a, g: G.holds_center(g, a), rank=lambda a, g: [g["region_id"]], pick=gcols)
     stray = held.where("gl IS NULL").select(*cols)
-    near = nearest_center(stray, regions, lambda p, q: G.center_dx(p, q) + G.center_dy(p, q), row_id="line_id", right_id="region_id", pick=gcols)
+    near = nearest_center(stray, regions, lambda p, q: G.center_dx(p, q) + G.center_dy(p, q), right_id="region_id", pick=gcols)
     near = near.select(*cols, *[F.coalesce(g, s).alias(g) for g, s in gcols.items()])
     put = held.where("gl IS NOT NULL").unionByName(near)
     put = put.select("page_id", "line_id", "category", F.greatest("l", "gl").alias("l"), F.greatest("t", "gt").alias("t"),

@@ -81,7 +81,7 @@ def drop_matched(left, right, on, **kw) -> DataFrame:
     return with_match_flag(left, right, on, name="_hit", **kw).where("NOT _hit").drop("_hit")
 
 
-def nearest_center(left: DataFrame, right: DataFrame, distance, *, row_id: str, right_id: str, pick: dict[str, str],
+def nearest_center(left: DataFrame, right: DataFrame, distance, *, right_id: str, pick: dict[str, str],
                    keys: Sequence[str] = ("page_id",), start: int = 128) -> DataFrame:
     """Every left row with the right row of the page whose centre is nearest by ``distance(a, b)``
     (least id on ties), null where the page has none. ``distance`` may not be less than the
