@@ -16,6 +16,10 @@ SLOTS = 211
 ROWS, BANDS = 5, 42
 #: Shingles worked on at once within a task.
 CHUNK = 600_000
+#: Representatives of one part of a bucket; a task compares two parts by their signatures.
+PART = 256
+#: Standard deviations of a signature's estimate below the wanted similarity at which a pair is still verified.
+SIGMAS = 4.7
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -65,15 +69,19 @@ def _describe(width: int):
             for part_ids, part in slices([ids, texts], [len(t) // 6 for t in texts], CHUNK):
                 sets = [shingle_set(t, width) for t in part]
                 full = [s for s in sets if len(s)]
-                keys = iter(band_keys(signatures(full)).view(np.int64) if full else ())
+                marks = signatures(full) if full else np.zeros((0, SLOTS), np.uint64)
+                keys = iter(band_keys(marks).view(np.int64))
                 zero = np.zeros(0, np.int64)
                 bands = [next(keys) if len(s) else zero for s in sets]
+                short = iter((mix(marks) & np.uint64(255)).astype(np.uint8))
+                short = [next(short).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                     pa.array([int(mix(s ^ np.uint64(0xC3C3C3C3)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
-                    pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)]).astype(np.int32), pa.array(np.concatenate(bands)))],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+                    pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)]).astype(np.int32), pa.array(np.concatenate(bands))),
+                    pa.array(short, pa.binary())],
+                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "short"])
     return run
 
 
@@ -97,20 +105,60 @@ def _alike(percent: int):
     return run
 
 
+def _plausible(percent: int, best: bool):
+    """Two parts of a bucket: pairs from different components whose sizes and signatures allow the wanted similarity, each in
+    the first band that both share. With ``best``, only the likeliest partner of each representative."""
+    j = percent / 100
+    least = (j - SIGMAS * (j * (1 - j) / SLOTS) ** 0.5) * SLOTS
+
+    def run(t: pa.Table) -> pa.Table:
+        key, first, second = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
+        part, rep, n, c = (t.column(x).to_numpy() for x in ("part", "rep", "n", "c"))
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        short = np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, SLOTS)
+        a, b = np.flatnonzero(part == first), np.flatnonzero(part == second)
+        out = []
+        for x in a:
+            y = b[(c[b] != c[x]) & (100 * n[b] >= percent * n[x]) & (100 * n[x] >= percent * n[b])]
+            if first == second:
+                y = y[rep[y] > rep[x]]
+            if not len(y):
+                continue
+            shared = bands[y] == bands[x]
+            same = (short[y] == short[x]).sum(1)
+            keep = (bands[x][shared.argmax(1)] == key) & shared.any(1) & (same >= least)
+            if keep.any():
+                out.append((np.full(keep.sum(), rep[x]), rep[y[keep]], same[keep]))
+        if not out:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        left, right, same = (np.concatenate(o) for o in zip(*out, strict=True))
+        if best:
+            at = set()
+            for side in (left, right):
+                order = np.lexsort((left, right, -same, side))
+                at.update(order[np.flatnonzero(np.diff(side[order], prepend=side[order][0] - 1))].tolist())
+            at = sorted(at)
+            left, right = left[at], right[at]
+        return pa.table({"a": left, "b": right})
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> one row per row of it: ``doc_id, n_shingles, component_id, kept``.
 
     Two documents are linked when their shingle sets share at least ``percent`` of their union, decided on the full sets.
     Documents with equal sets become one representative before anything else, so thousands of copies are one entry. In each
-    bucket of a band, representatives are compared with a leader; components form; what still stands in a bucket with
-    members of other components is compared with a second leader, and at last pair by pair. No pair that shares a bucket
-    stays undecided unless its ends are already connected.
+    bucket of a band, representatives are verified against a leader, and components form. Buckets that still hold several
+    components are cut into parts by hash, and tasks compare signatures of two parts: first each member's likeliest partner
+    in another component is verified, then, with the components that gives, every pair across components whose signatures
+    agree within 4.7 standard deviations of the wanted similarity. So a pair that shares a bucket is verified unless its
+    ends are already connected or its signatures rule it out (one in a million at the very threshold).
 
     Null and word-less texts have no shingles, link with nothing and are kept. Rows that share a doc_id are each judged by
     their own text, under that id. A null doc_id has a null component and is kept. Other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    described = stash(source.mapInArrow(_describe(width), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    described = stash(source.mapInArrow(_describe(width), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, short binary"))
     full = described.where("n_shingles > 0 and doc_id is not null")
     equal = stash(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     single = full.join(equal.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"]) \
@@ -125,24 +173,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         return sized.join(items.select(F.col("id").alias("a"), F.col("items").alias("x")), "a") \
             .join(items.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").mapInArrow(_alike(percent), "a long, b long")
 
-    def near_size(x: str, y: str):
-        return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-
     links = stash(verified(live.select(F.col("leader").alias("a"), F.col("rep").alias("b"))))
-    for second in (True, False):
+    marks = stash(full.select(F.col("doc_id").alias("rep"), "s1", "s2", "bands", "short").join(equal, ["rep", "s1", "s2"]).select("rep", "bands", "short")
+                  .join(wanted.withColumnRenamed("doc_id", "rep"), "rep"))
+    for best in (True, False):
         groups = components(links)
         placed = stash(live.select("key", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
                        .select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
-        split = stash(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("rep").alias("leader")).where("c0 < c1"))
-        rest = placed.join(split.select("key", "leader"), "key")
-        if second:
-            at = groups.select(F.col("node").alias("leader"), F.col("component").alias("lc"))
-            pairs = rest.where("rep <> leader").select("leader", "rep", "c").distinct().join(at, "leader", "left") \
-                .where(F.coalesce("lc", "leader") != F.col("c")).select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-        else:
-            x, y = (rest.select("key", *[F.col(c).alias(p + c) for c in ("rep", "n", "c")]) for p in "xy")
-            pairs = x.join(y, "key").where((F.col("xc") < F.col("yc")) & near_size("xn", "yn")).select(F.col("xrep").alias("a"), F.col("yrep").alias("b"))
-        links = stash(links.union(verified(pairs)))
+        split = stash(placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+                      .where("c0 < c1").select("key", "parts"))
+        rest = placed.join(split, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(marks, "rep") \
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
+            .select("key", "rep", "n", "c", "bands", "short", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        links = stash(links.union(verified(rest.groupBy("key", "i", "j").applyInArrow(_plausible(percent, best), "a long, b long"))))
     named = components(links).withColumnRenamed("node", "rep")
     named = stash(equal.join(named, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
