@@ -19,7 +19,7 @@ CHUNK = 600_000
 #: Representatives of one part of a bucket; a task compares two parts by their signatures.
 PART = 256
 #: Standard deviations of a signature's estimate below the wanted similarity at which a pair is still verified.
-SIGMAS = 4.7
+SIGMAS = 4.0
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
@@ -107,7 +107,7 @@ def _alike(percent: int):
 
 def _plausible(percent: int, best: bool):
     """Two parts of a bucket: pairs from different components whose sizes and signatures allow the wanted similarity, each in
-    the first band that both share. With ``best``, only the likeliest partner of each representative."""
+    the first band that both share. With ``best``, only the likeliest pair of each component in sight."""
     j = percent / 100
     least = (j - SIGMAS * (j * (1 - j) / SLOTS) ** 0.5) * SLOTS
 
@@ -132,12 +132,15 @@ def _plausible(percent: int, best: bool):
         if not out:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         left, right, same = (np.concatenate(o) for o in zip(*out, strict=True))
-        if best:
-            at = set()
-            for side in (left, right):
-                order = np.lexsort((left, right, -same, side))
-                at.update(order[np.flatnonzero(np.diff(side[order], prepend=side[order][0] - 1))].tolist())
-            at = sorted(at)
+        if best:  # one pair for each component in sight but the most frequent one
+            owner = dict(zip(rep.tolist(), c.tolist(), strict=True))
+            names, sizes = np.unique(c, return_counts=True)
+            main, done, at = names[sizes.argmax()], set(), []
+            for k in np.argsort(-same, kind="stable"):
+                ends = {owner[int(left[k])], owner[int(right[k])]} - {main}
+                if not ends <= done:
+                    done |= ends
+                    at.append(k)
             left, right = left[at], right[at]
         return pa.table({"a": left, "b": right})
     return run
@@ -149,10 +152,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked when their shingle sets share at least ``percent`` of their union, decided on the full sets.
     Documents with equal sets become one representative before anything else, so thousands of copies are one entry. In each
     bucket of a band, representatives are verified against a leader, and components form. Buckets that still hold several
-    components are cut into parts by hash, and tasks compare signatures of two parts: first each member's likeliest partner
-    in another component is verified, then, with the components that gives, every pair across components whose signatures
-    agree within 4.7 standard deviations of the wanted similarity. So a pair that shares a bucket is verified unless its
-    ends are already connected or its signatures rule it out (one in a million at the very threshold).
+    components are cut into parts by hash, and tasks compare signatures of two parts: first each component's
+    likeliest pair with another is verified, then, with the components that gives, every pair across components whose
+    signatures agree within four standard deviations of the wanted similarity. So a pair that shares a bucket is verified
+    unless its ends are already connected or its signatures rule it out (three in 100,000 at the very threshold).
 
     Null and word-less texts have no shingles, link with nothing and are kept. Rows that share a doc_id are each judged by
     their own text, under that id. A null doc_id has a null component and is kept. Other columns are ignored.
