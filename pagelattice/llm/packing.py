@@ -17,11 +17,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pagelattice.llm.common import shared_folder, stash, table, text_or_empty
-from pagelattice.llm.pretokens import Units, added_pattern
+from pagelattice.llm.pretokens import PIECE, PIECE_CACHE, Units, added_pattern
 
 MAGIC = b"PLTOK001"
 #: Ids in a block; a whole number of bytes at any width.
 BLOCK = 1 << 15
+WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
 
 
 def width_of(vocabulary: int) -> int:
@@ -31,11 +32,15 @@ def width_of(vocabulary: int) -> int:
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
     """Ids one after another, ``bits`` bits each, lowest bit first; the last byte is filled with zeros."""
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()  # the same bytes
     places = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
     return np.packbits(places.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits], count).astype(np.uint32)
     places = np.unpackbits(np.frombuffer(data, np.uint8), count=count * bits, bitorder="little").reshape(count, bits)
     weights = (np.uint32(1) << np.arange(bits, dtype=np.uint32))
     return (places * weights).sum(axis=1, dtype=np.uint32)
@@ -51,7 +56,21 @@ class LibraryEncoder:
         with open(path, encoding="utf-8") as f:
             added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         self.cut = added_pattern(added) if added else None
-        self.units = Units(self.ask)
+        self.units = Units(self.pieces)
+        self.signs: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> bytes:
+        """A unit of letters is asked for as it is; of others the word is looked up and the signs about it are remembered."""
+        if text[1:].isalpha() and text[0] == " ":
+            return self.ask(text)
+        return b"".join([self.units[p[1:]] if p[0] == " " and p != text and p[1:].isalpha() else self.sign(p) for p in PIECE.findall(text)])
+
+    def sign(self, piece: str) -> bytes:
+        if piece not in self.signs:
+            if len(self.signs) >= PIECE_CACHE:
+                self.signs.clear()
+            self.signs[piece] = self.ask(piece)
+        return self.signs[piece]
 
     def ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -202,7 +221,8 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     before = totals.select("g", (F.sum("n").over(Window.orderBy("g")) - F.col("n")).alias("earlier"))
     within = files.select("file", group.alias("g"), (F.sum("ids").over(Window.partitionBy(group).orderBy("file")) - F.col("ids")).alias("inner"))
     placed = stash(within.join(before, "g").select("file", (F.col("earlier") + F.col("inner")).alias("before")))
-    return placed.repartition("file").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    parts = max(1, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return placed.repartition(parts, "file").mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:

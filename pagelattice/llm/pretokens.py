@@ -9,8 +9,8 @@ from functools import lru_cache
 
 import regex
 
-#: Pieces, and units of a blank and what follows it, that a worker remembers before it starts anew (about 50 MB each).
-PIECE_CACHE = 300_000
+#: Pieces, and units of a blank and what follows it, that a worker remembers before it starts anew (about 80 MB each).
+PIECE_CACHE = 500_000
 #: Fixed value: English endings, letters, numbers and other signs (each with one blank before), white space.
 PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 TWO_SPACES = re.compile(r"\s\s")
