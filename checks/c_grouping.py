@@ -303,94 +303,16 @@ done AS (SELECT page_id, unnest(arg_max(xs, i)) AS k FROM walk GROUP BY page_id)
 FIX_OUT = "SELECT page_id, k.id AS {0}, k.l AS l, k.t AS t, k.r AS r, k.b AS b FROM done"
 
 
-@query("grp_fixpoint_union", uses="boxes", also=fixpoint_sql("boxes", "box_id", lambda p, q: f"{inter(p, q)}*100>=40*{min_area(p, q)}", 8), sql=FIX_OUT.format("box_id"))
+@query("grp_fixpoint_union", uses="boxes", also=fixpoint_sql("boxes", "box_id", lambda p, q: f"{inter(p, q)}*100>=40*{min_area(p, q)}", 1000000), sql=FIX_OUT.format("box_id"))
 def _(t):
-    return GR.merge_overlaps(plain(t), "nested", 8)
+    return GR.merge_overlaps(plain(t), "nested")
 
 
-@query("grp_fixpoint_union_alike", uses="regions", also=fixpoint_sql("regions", "region_id", lambda p, q: f"{iou_over(p, q, 45)} OR {cont_over(p, q, 85)}", 20), sql=FIX_OUT.format("region_id"))
+@query("grp_fixpoint_union_alike", uses="regions", also=fixpoint_sql("regions", "region_id", lambda p, q: f"{iou_over(p, q, 45)} OR {cont_over(p, q, 85)}", 1000000), sql=FIX_OUT.format("region_id"))
 def _(t):
-    return GR.merge_overlaps(t.regions, "alike", 20, row_id="region_id")
+    return GR.merge_overlaps(t.regions, "alike", row_id="region_id")
 
 
-@query("grp_fixpoint_union_touching", uses="regions", also=fixpoint_sql("regions", "region_id", lambda p, q: cont_over(p, q, 12), 30), sql=FIX_OUT.format("region_id"))
+@query("grp_fixpoint_union_touching", uses="regions", also=fixpoint_sql("regions", "region_id", lambda p, q: cont_over(p, q, 12), 1000000), sql=FIX_OUT.format("region_id"))
 def _(t):
-    return GR.merge_overlaps(t.regions, "touching", 30, row_id="region_id")
-
-
-def _trim(name, rule, seam, sweeps, side):
-    @query(name)
-    def _(t):
-        return GR.trim_overlaps(GR.merge_overlaps(t.regions, rule, 30, row_id="region_id"), seam, sweeps, side, W, H, row_id="region_id")
-
-
-_trim("grp_edge_trim", "touching", "delta", 20, 10)
-_trim("grp_edge_trim_seam", "alike", "shape", 15, 12)
-
-
-@query("grp_edge_trim_remaining", sql="SELECT CAST(0 AS BIGINT) AS n_overlapping")
-def _(t):
-    """Assertion: after merging and trimming no two regions of a page overlap."""
-    from pagelattice.operators.spatial import near_pairs
-    d = GR.trim_overlaps(GR.merge_overlaps(t.regions, "touching", 30, row_id="region_id"), "delta", 20, 10, W, H, row_id="region_id")
-    p = near_pairs(d, d, lambda a, b: (a["region_id"] < b["region_id"]) & (G.intersection(a, b) > 0))
-    return p.agg(F.count(F.lit(1)).alias("n_overlapping"))
-
-
-@query("grp_line_dedup")
-def _(t):
-    return GR.line_dedup(t.lines)
-
-
-def _units(t, src, lo=16, hi=48):
-    return GR.with_char_width(src, lo, hi, 26)
-
-
-@query("grp_reach_seeded")
-def _(t):
-    return GR.reach_seeded(plain(t), 150).select("page_id", "box_id", "cluster_id")
-
-
-@query("grp_recombine_glyphs")
-def _(t):
-    return GR.recombine_glyphs(plain(t), t.regions)
-
-
-def assigned_boxes(t):
-    d = J.max_intersection(plain(t), t.regions).where("region_id IS NOT NULL")
-    return d.join(_units(t, plain(t)).select("page_id", "cw").distinct(), "page_id")
-
-
-@query("grp_columns_in_region")
-def _(t):
-    return GR.columns_in_region(assigned_boxes(t), t.regions)
-
-
-@query("grp_columns_outside")
-def _(t):
-    d = t.boxes.select("page_id", "box_id", *"ltrb", "category")
-    return GR.columns_outside(_units(t, d))
-
-
-@query("grp_reconcile_uncovered")
-def _(t):
-    boxes = _units(t, t.boxes.select("page_id", "box_id", *"ltrb", "category"))
-    return GR.reconcile_uncovered(boxes, t.lines, t.regions)
-
-
-@query("grp_reconcile_remaining", sql="SELECT CAST(0 AS BIGINT) AS n_lost")
-def _(t):
-    """Assertion: after reconciling, a box no line covers can only be one cut off by its region."""
-    boxes = _units(t, t.boxes.select("page_id", "box_id", *"ltrb", "category"))
-    left = J.uncovered(boxes, GR.reconcile_uncovered(boxes, t.lines, t.regions))
-    return J.drop_matched(left, t.regions, lambda a, g: G.intersection(a, g) > 0).agg(F.count(F.lit(1)).alias("n_lost"))
-
-
-@query("grp_unbubbled_extend")
-def _(t):
-    return GR.unbubbled_extend(_units(t, t.lines))
-
-
-@query("grp_crossover_resolve")
-def _(t):
-    return GR.crossover_resolve(_units(t, t.lines))
+    return GR.merge_overlaps(t.regions, "touching", row_id="region_id")

@@ -37,19 +37,14 @@ fb AS (SELECT a.*, f.l AS gl, f.r AS gr FROM allb a JOIN frames f USING (page_id
 @query("extract_lines", uses="boxes regions", also=EXTRACT, sql=f"""
 SELECT page_id, CASE WHEN region_id>=0 THEN 'BUBBLED' ELSE 'ORPHAN' END AS category, l, t, r, b, n_boxes, region_id, {cy('s')}//200 AS band FROM seamed s""")
 def _(t):
-    d = L.extract_lines(plain(t), t.regions, W, H, seeded=False)
+    d = L.extract_lines(plain(t), t.regions, W, H)
     return d.withColumn("band", F.floor(F.shiftright(F.col("t") + F.col("b"), 1) / 200)).drop("reading_order")
 
 
 @query("extract_lines_order", uses="boxes regions", also=EXTRACT, sql=f"""
 SELECT page_id, region_id, l, t, row_number() OVER (PARTITION BY page_id ORDER BY {cy('s')}//200, -{cx('s')}, t, region_id, l, r) AS reading_order FROM seamed s""")
 def _(t):
-    return L.extract_lines(plain(t), t.regions, W, H, seeded=False).select("page_id", "region_id", "l", "t", "reading_order")
-
-
-@query("extract_lines_seeded")
-def _(t):
-    return L.extract_lines(plain(t), t.regions, W, H)
+    return L.extract_lines(plain(t), t.regions, W, H).select("page_id", "region_id", "l", "t", "reading_order")
 
 
 GROUPS = CUTS.replace("FROM regions)", "FROM regions WHERE region_id%3=0)") + f""",

@@ -9,12 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import StructType
 
 from pagelattice.functions import geometry as G
-from pagelattice.operators import rectlists as R
 from pagelattice.operators.joins import center_first, center_or_overlap
-from pagelattice.operators.pagefold import cluster, fold, fold_pages, greedy_keep, hot_pages, let, map_arrays, page_arrays
+from pagelattice.operators.pagefold import cluster, fold, fold_pages, greedy_keep, let, page_arrays
 from pagelattice.operators.ranking import with_previous
 from pagelattice.operators.spatial import best_match, near_pairs, nearest_center
 from pagelattice.session import cut_lineage
@@ -454,145 +452,38 @@ def split_tall_regions(regions: DataFrame, lines: DataFrame) -> DataFrame:
 
 # ---- order-dependent steps on one page or region --------------------------------------------
 
-def _items(d: DataFrame, step, out: str, *, row_id: str, keys: Sequence[str] = ("page_id",), pad: int = 0, hot="find",
-           order: dict | None = None) -> DataFrame:
-    """Feed the sorted rows of every page (or block of a hot page) to ``step``."""
-    keys = list(keys)
-    item = StructType.fromDDL(out)
 
-    def scan(rows, ks):
-        arrays = page_arrays(rows, ks, order or {"id": F.col(row_id)})
-        return map_arrays(arrays, step, item).select(*keys, *item.fieldNames())
-
-    return fold_pages(d, scan, row_id=row_id, pad=pad, keys=keys, hot=hot)
-
-
-RECT_OUT = "id bigint, l int, t int, r int, b int"
-LINE_OUT = RECT_OUT + ", category string"
-
-
-def merge_overlaps(boxes: DataFrame, rule: str = "nested", passes: int = 8, row_id: str = "box_id",
-                   keys: Sequence[str] = ("page_id",), hot="find") -> DataFrame:
-    """Pairwise union until stable: ``nested`` (.40 of either), ``alike`` (IoU .45 or containment
-    .85) or ``touching`` (.12 of the smaller). One pair per pass; blocks of a hot page count their own."""
-    out = _items(boxes.select(*keys, row_id, *SIDES), lambda xs: R.union_until_stable(xs, rule, passes), RECT_OUT,
-                 row_id=row_id, keys=keys, hot=hot)
-    return out.withColumnRenamed("id", row_id)
-
-
-def trim_overlaps(boxes: DataFrame, seam: str = "delta", sweeps: int = 20, min_side: int = 10, page_w: int = 512,
-                  page_h: int = 800, row_id: str = "box_id", hot="find") -> DataFrame:
-    """Cut the overlaps that are left after merging, ``seam`` by centre ``delta`` or overlap ``shape``."""
-    out = _items(boxes.select("page_id", row_id, *SIDES), lambda xs: R.trim_edges(xs, seam, sweeps, min_side, page_w, page_h), RECT_OUT,
-                 row_id=row_id, hot=hot)
-    return out.withColumnRenamed("id", row_id)
-
-
-def line_dedup(lines: DataFrame, percent: int = 65, row_id: str = "line_id", hot="find") -> DataFrame:
-    """One survivor of each pair of lines overlapping by more than ``percent`` % of the smaller."""
-    out = _items(lines.select("page_id", row_id, *SIDES, "category"), lambda xs: R.dedup_lines(xs, percent), LINE_OUT, row_id=row_id, hot=hot)
-    return out.withColumnRenamed("id", row_id)
-
-
-def reach_seeded(boxes: DataFrame, percent: int = 250, row_id: str = "box_id", hot="find") -> DataFrame:
-    """Clusters grown from the lowest unused id with the reach of the box being expanded.
-
-    The relation is not symmetric. Hot pages are cut by the symmetric components, which no
-    expansion can leave, and scanned per component."""
-    keys = ["page_id"]
-    d = boxes.select("page_id", row_id, *SIDES)
-    if hot == "find":
-        hot = hot_pages(d, keys)
-    step = lambda xs: R.seeded_reach(xs, percent)
-    out = _items(d if hot is None else d.join(hot, keys, "left_anti"), step, RECT_OUT + ", cluster_id bigint", row_id=row_id, hot=None)
-    if hot is not None:
-        comp = reach_clusters(d.join(hot, keys, "left_semi"), percent, row_id, hot=hot).withColumnRenamed("cluster_id", "_comp")
-        big = map_arrays(page_arrays(comp, ["page_id", "_comp"], {"id": F.col(row_id)}), step, StructType.fromDDL(RECT_OUT + ", cluster_id bigint"))
-        out = out.unionByName(big.select(*out.columns))
-    return out.withColumnRenamed("id", row_id)
-
-
-def recombine_glyphs(boxes: DataFrame, regions: DataFrame, passes: int = 8, row_id: str = "box_id", hot="find") -> DataFrame:
-    """Unite the pieces of split glyphs, at most ``passes`` pairs per page or block."""
-    rows = boxes.select("page_id", F.lit(1).alias("kind"), F.col(row_id).alias("src"), *SIDES).unionByName(
-        regions.select("page_id", F.lit(0).alias("kind"), F.col("region_id").alias("src"), *SIDES))
-    rows = rows.withColumn("id", F.col("src") * 2 + F.col("kind"))
-
-    def step(xs):
-        done = R.recombine([x for x in xs if x["kind"]], [x for x in xs if not x["kind"]], passes)
-        return [{**x, "id": x["src"]} for x in done]
-
-    out = _items(rows, step, RECT_OUT, row_id="id", pad=12, hot=hot, order={"_k": F.col("kind"), "_o": F.col("src")})
-    return out.withColumnRenamed("id", row_id)
-
-
-def columns_in_region(boxes: DataFrame, regions: DataFrame, hot="find") -> DataFrame:
-    """Text columns of every region from its assigned boxes (``region_id``, page unit ``cw``).
-
-    Clip to the region, unite nested boxes, find the region's own width unit, absorb ruby, then
-    build the columns. ``absorbed`` is the ruby count of the region."""
-    by = ["page_id", "region_id"]
-    boxes = cut_lineage(boxes)
-    if hot == "find":  # no later step adds boxes to a region
-        hot = hot_pages(boxes, by)
-    d = boxes.join(regions.select(*by, *[F.col(s).alias("g" + s) for s in SIDES]), by)
-    clipped = d.select(*by, "box_id", F.greatest("l", "gl").alias("l"), F.greatest("t", "gt").alias("t"),
-                       F.least("r", "gr").alias("r"), F.least("b", "gb").alias("b")).where("r - l >= 6 AND b - t >= 6")
-    united = cut_lineage(merge_overlaps(clipped, "nested", 8, keys=by, hot=hot))
-    page_unit = boxes.groupBy("page_id").agg(F.max("cw").alias("pw"))
-    a = G.rect()
-    own = united.groupBy(*by).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN b - t >= 16 AND r - l >= 12 THEN r - l END DESC)").alias("m"))
-    unit = own.join(page_unit, "page_id").select(*by, G.clamp(F.coalesce(F.col("m"), F.col("pw")), F.lit(16), F.greatest(F.lit(48), F.col("pw") * 3 / 2)).alias("cw"))
-    clean = ruby_absorb(united.join(unit, by), by, hot=hot)
-    count = clean.groupBy(*by).agg(F.sum("absorbed").alias("absorbed"))
-    framed = clean.drop("absorbed").join(regions.select(*by, *[F.col(s).alias("g" + s) for s in SIDES]), by)
-
-    def step(xs):
-        g = xs[0]
-        return R.region_columns(xs, [g["gl"], g["gt"], g["gr"], g["gb"]], g["cw"])
-
-    out = _items(framed, step, "l int, t int, r int, b int, n_boxes int", row_id="box_id", keys=by, pad=200, hot=hot)
-    return out.join(count, by)
-
-
-def columns_outside(boxes: DataFrame, hot="find") -> DataFrame:
-    """Columns of boxes outside regions, per page and kind; needs ``category`` and ``cw``."""
-    d = boxes.withColumn("is_effect", F.col("category") == "SFX")
-    keys = ["page_id", "is_effect"]
-    if hot == "find":
-        hot = hot_pages(d, keys)
-    united = merge_overlaps(d, "nested", 8, keys=keys, hot=hot)
-    units = boxes.groupBy("page_id").agg(F.max("cw").alias("cw"))
-    rows = united.join(units, "page_id").withColumn("_d", ~F.col("is_effect"))
-    return _items(rows, lambda xs: R.outside_columns(xs, xs[0]["cw"], xs[0]["_d"]), "l int, t int, r int, b int, category string, n_boxes int",
-                  row_id="box_id", keys=keys, pad=100, hot=hot).drop("is_effect")
-
-
-def reconcile_uncovered(boxes: DataFrame, lines: DataFrame, regions: DataFrame, hot="find") -> DataFrame:
-    """Lines grown and added so that every box is covered and every inked region has a line.
-    ``cw`` on the boxes is the page unit; added lines have a null id."""
-    pick = lambda d, kind, id_, cat, w: d.select("page_id", F.lit(kind).alias("kind"), F.col(id_).alias("src"), *SIDES, cat.alias("category"), w.alias("cw"))
-    none = F.lit(None)
-    rows = (pick(boxes, 0, "box_id", F.col("category"), F.col("cw"))
-            .unionByName(pick(lines, 1, "line_id", F.col("category"), none.cast("int")))
-            .unionByName(pick(regions, 2, "region_id", none.cast("string"), none.cast("int"))))
-    rows = rows.withColumn("id", F.col("src") * 3 + F.col("kind"))
-
-    def step(xs):
-        of = lambda kind: [{**x, "id": x["src"]} for x in xs if x["kind"] == kind]
-        bs = of(0)
-        return R.reconcile(bs, of(1), of(2), bs[0]["cw"] if bs else 16)
-
-    return _items(rows, step, LINE_OUT, row_id="id", pad=110, hot=hot, order={"_k": F.col("kind"), "_o": F.col("src")}).withColumnRenamed("id", "line_id")
-
-
-def unbubbled_extend(lines: DataFrame, passes: int = 8, hot="find") -> DataFrame:
-    """Unite collinear outside lines; ``cw`` is the page unit."""
-    return _items(lines.select("page_id", "line_id", *SIDES, "category", "cw"), lambda xs: R.extend_outside(xs, xs[0]["cw"], passes), LINE_OUT,
-                  row_id="line_id", pad=160, hot=hot).withColumnRenamed("id", "line_id")
-
-
-def crossover_resolve(lines: DataFrame, passes: int = 12, seams: int = 8, hot="find") -> DataFrame:
-    """Clear crossings between lines of a page; ``cw`` is the page unit."""
-    return _items(lines.select("page_id", "line_id", *SIDES, "category", "cw"), lambda xs: R.resolve_crossings(xs, xs[0]["cw"], passes, seams), LINE_OUT,
-                  row_id="line_id", hot=hot).withColumnRenamed("id", "line_id")
+#: When two rectangles are one, in hundredths of the smaller area or of the union.
+UNION_RULES = {
+    "nested": lambda p, q, both, least: both * 100 >= least * 40,
+    "alike": lambda p, q, both, least: (both * 100 > (G.area(p) + G.area(q) - both) * 45) | (both * 100 > least * 85),
+    "touching": lambda p, q, both, least: both * 100 > least * 12,
+}
+
+
+def merge_overlaps(boxes: DataFrame, rule: str = "nested", row_id: str = "box_id", keys: Sequence[str] = ("page_id",), hot="find") -> DataFrame:
+    """Pairwise union to the fixpoint: ``nested`` (.40 of the smaller), ``alike`` (IoU .45 or containment .85) or ``touching``
+    (.12 of the smaller). Each turn unites the first rectangle by id that has a partner with its first partner; a page has at
+    most as many turns as rectangles."""
+
+    def meets(x, y):
+        both = G.intersection(x, y)
+        return (y["id"] > x["id"]) & (both > 0) & UNION_RULES[rule](x, y, both, F.least(G.area(x), G.area(y)))
+
+    def turn(state, _):
+        xs = state["xs"]
+        first = F.filter(xs, lambda x: F.exists(xs, lambda y: meets(x, y)))
+        pair = let(first, lambda f: F.when(F.size(f) > 0, F.struct(f[0].alias("x"), F.filter(xs, lambda y: meets(f[0], y))[0].alias("y"))))
+        united = lambda p, k: F.when(k["id"] == p["x"]["id"], F.struct(
+            k["id"].alias("id"), F.least(k["l"], p["y"]["l"]).alias("l"), F.least(k["t"], p["y"]["t"]).alias("t"),
+            F.greatest(k["r"], p["y"]["r"]).alias("r"), F.greatest(k["b"], p["y"]["b"]).alias("b"))).otherwise(k)
+        after = let(pair, lambda p: F.when(p.isNull(), F.struct(xs.alias("xs"), F.lit(False).alias("more"))).otherwise(F.struct(
+            F.transform(F.filter(xs, lambda k: k["id"] != p["y"]["id"]), lambda k: united(p, k)).alias("xs"), F.lit(True).alias("more"))))
+        return F.when(state["more"], after).otherwise(state)
+
+    def scan(rows, by):
+        arrays = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(row_id).cast("bigint").alias("id"), *SIDES))).alias("xs"))
+        done = F.aggregate(F.sequence(F.lit(1), F.size("xs")), F.struct(F.col("xs"), F.lit(True).alias("more")), turn)["xs"]
+        return arrays.select(*by, F.explode(done).alias("x")).select(*by, F.col("x.id").alias(row_id), *[F.col(f"x.{c}").alias(c) for c in SIDES])
+
+    return fold_pages(boxes.select(*keys, row_id, *SIDES), scan, row_id=row_id, keys=list(keys), hot=hot)

@@ -157,22 +157,3 @@ def fold_pages(df: DataFrame, transform: Callable[[DataFrame, list[str]], DataFr
     blocks = independent_blocks(big, row_id=row_id, pad=pad, keys=keys, flat=flat)
     return out.unionByName(transform(blocks, keys + ["_block"]).select(*out.columns))
 
-
-def map_arrays(arrays: DataFrame, fn: Callable[..., list[dict]], out_item: StructType,
-               inputs: Sequence[str] = ("items",)) -> DataFrame:
-    """Apply ``fn(list_of_dicts, ...) -> list_of_dicts`` to the array columns ``inputs`` of every
-    row, in Arrow batches; the other columns pass through and the result is exploded."""
-    passed = [f for f in arrays.schema.fields if f.name not in inputs]
-    schema = StructType(passed + [StructField("_out", ArrayType(out_item))])
-    arrow_schema = to_arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = zip(*[batch.column(c).to_pylist() for c in inputs])
-            out = pa.array([fn(*row) for row in lists], type=arrow_schema.field("_out").type)
-            kept = [batch.column(f.name) for f in passed]
-            yield pa.RecordBatch.from_arrays(kept + [out], schema=arrow_schema)
-
-    done = arrays.mapInArrow(run, schema)
-    return (done.select(*[f.name for f in passed], F.explode("_out").alias("_x"))
-            .select(*[f.name for f in passed], "_x.*"))

@@ -19,11 +19,12 @@ TILE = 256
 
 
 def _on_tiles(df: DataFrame, keys: Sequence[str], name: str, pad, tile: int) -> DataFrame:
-    """One row per tile the rectangle covers once grown by ``pad``; corners kept beside the row."""
+    """One row per tile the rectangle covers once grown by ``pad``; corners kept beside the row. A row with a null side
+    stands in no tile but stays, for left joins."""
     grow = pad if isinstance(pad, Column) else F.lit(pad)
     ends = {"l": F.col("l") - grow, "t": F.col("t") - grow,
             "r": F.greatest("l", "r") + grow, "b": F.greatest("t", "b") + grow}
-    tiles = lambda lo, hi: F.explode(F.sequence(floor_div(ends[lo], tile), floor_div(ends[hi], tile)))
+    tiles = lambda lo, hi: F.explode_outer(F.sequence(floor_div(ends[lo], tile), floor_div(ends[hi], tile)))
     return (
         df.select("*", tiles("l", "r").alias("_tx")).select("*", tiles("t", "b").alias("_ty"))
         .select(*[F.col(k).alias(f"_{name}_{k}") for k in keys],
@@ -55,22 +56,22 @@ def near_pairs(left: DataFrame, right: DataFrame, on: Callable[[Column, Column],
 def best_match(left: DataFrame, right: DataFrame, on, *, rank, pick: dict[str, str],
                keys: Sequence[str] = ("page_id",), pad: int | Column = 0) -> DataFrame:
     """Every left row with columns ``pick`` (new name -> right column) of its best right
-    row, the one with the least ``rank(a, b)``; null where nothing matches."""
-    pairs = near_pairs(left, right, on, keys=keys, pad=pad, how="left")
+    row, the one with the least ``rank(a, b)``; null where nothing matches. Equal left rows and rows with a null side stay."""
+    pairs = near_pairs(left.withColumn("_row", F.monotonically_increasing_id()), right, on, keys=keys, pad=pad, how="left")
     a, b = F.col("a"), F.col("b")
     candidate = F.when(b.isNotNull(), F.struct(
         *[c.alias(f"k{i}") for i, c in enumerate(rank(a, b))],
         *[b[src].alias(f"p{i}") for i, src in enumerate(pick.values())]))
     best = pairs.groupBy("a").agg(F.min(candidate).alias("m"))
-    return best.select("a.*", *[F.col(f"m.p{i}").alias(new) for i, new in enumerate(pick)])
+    return best.select(*[F.col("a")[c].alias(c) for c in left.columns], *[F.col(f"m.p{i}").alias(new) for i, new in enumerate(pick)])
 
 
 def with_match_flag(left: DataFrame, right: DataFrame, on, *, name: str = "matched",
                     keys: Sequence[str] = ("page_id",), pad: int | Column = 0) -> DataFrame:
-    """Every left row plus a boolean: does any right row satisfy ``on``?"""
-    pairs = near_pairs(left, right, on, keys=keys, pad=pad, how="left")
+    """Every left row plus a boolean: does any right row satisfy ``on``? Equal left rows and rows with a null side stay."""
+    pairs = near_pairs(left.withColumn("_row", F.monotonically_increasing_id()), right, on, keys=keys, pad=pad, how="left")
     return (pairs.groupBy("a").agg(F.max(F.col("b").isNotNull()).alias("_m"))
-            .select("a.*", F.col("_m").alias(name)))
+            .select(*[F.col("a")[c].alias(c) for c in left.columns], F.col("_m").alias(name)))
 
 
 def keep_matched(left, right, on, **kw) -> DataFrame:

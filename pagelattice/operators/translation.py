@@ -27,7 +27,8 @@ def _placed(lines: DataFrame, max_blocks: int) -> DataFrame:
 
 
 def requests(lines: DataFrame, style: str = "json", max_blocks: int = MAX_BLOCKS) -> DataFrame:
-    """One request per page: a JSON array of the non-blank texts, or numbered lines ``[k] text``."""
+    """Requests by (page_id, request_no): one per page of up to ``max_blocks`` lines, else one for each such run of lines, numbered
+    from 1 within it. Each is a JSON array of the non-blank texts, or numbered lines ``[k] text``."""
     if style == "json":
         lines = lines.where(strip(F.col("text")) != "")
     items = F.array_sort(F.collect_list(F.struct("n", "text")))

@@ -32,11 +32,10 @@ def lines_in_frames(boxes: DataFrame, page_w: int, page_h: int, hot="find") -> D
     return GR.seam_trim(chains, "line_no", hot=hot)
 
 
-def extract_lines(boxes: DataFrame, regions: DataFrame, page_w: int = 512, page_h: int = 800, seeded: bool = True, rtl: bool = True,
-                  hot="find") -> DataFrame:
+def extract_lines(boxes: DataFrame, regions: DataFrame, page_w: int = 512, page_h: int = 800, rtl: bool = True, hot="find") -> DataFrame:
     """Lines of a page in reading order. Regions overlapping an earlier one by .60 are ignored;
     boxes centred in a region lose their ruby and become its lines; the others are clustered
-    first (``seeded`` reach or its symmetric form) and each cluster's bounds act as its region."""
+    first (by symmetric reach) and each cluster's bounds act as its region."""
     boxes = boxes.select("page_id", "box_id", *SIDES)
     if hot == "find":
         hot = hot_pages(boxes)
@@ -44,7 +43,7 @@ def extract_lines(boxes: DataFrame, regions: DataFrame, page_w: int = 512, page_
     placed = cut_lineage(J.center_first(boxes, envelopes))
     inside = GR.ruby_absorb_gap(placed.where("region_id >= 0"), hot=None if hot is None else "find")
     stray = placed.where("region_id < 0").drop("region_id")
-    clusters = cut_lineage(GR.reach_seeded(stray, 250, hot=hot) if seeded else GR.reach_clusters(stray, 250, hot=hot))
+    clusters = cut_lineage(GR.reach_clusters(stray, 250, hot=hot))
     key = (-1 - F.col("cluster_id")).alias("region_id")
     frames = envelopes.unionByName(GR.cluster_bounds(clusters).select("page_id", key, *SIDES))
     every = inside.select("page_id", "region_id", "box_id", *SIDES).unionByName(clusters.select("page_id", key, "box_id", *SIDES))
@@ -155,19 +154,18 @@ PRESETS = {
     0: "strict lines, then fragment groups",
     1: "boxes to fragment groups, fenced by region",
     2: "bridged lines",
-    3: "region units, absorbed strays and outside units, overlaps resolved",
     4: "vertical lines to lobes and outside clusters",
     5: "whole regions, tall ones split, with outside clusters",
     6: "coverage tiers with nearest centre",
-    7: "coverage tiers, like units merged and trimmed",
     8: "coverage tiers over cut regions",
-    9: "coverage tiers over cut regions, like units merged and trimmed",
 }
 
 
 def layout(boxes: DataFrame, regions: DataFrame, method: int, cuts: DataFrame | None = None, gutters: DataFrame | None = None,
            page_w: int = 512, page_h: int = 800) -> DataFrame:
     """Units (page_id, unit_id, l, t, r, b, n) of one named composition, see ``PRESETS``."""
+    if method not in PRESETS:
+        raise ValueError(f"no preset {method}")
     boxes = boxes.select("page_id", "box_id", *SIDES)
     units = lambda c, key: GR.cluster_bounds(c, ("page_id", key)).withColumnRenamed(key, "unit_id")
     tail = ["page_id", "unit_id", *SIDES, "n"]
@@ -178,17 +176,6 @@ def layout(boxes: DataFrame, regions: DataFrame, method: int, cuts: DataFrame |
         return units(GR.fenced_fragments(boxes, regions, fence=True), "cluster_id").select(*tail)
     if method == 2:
         return units(GR.bridged_lines(boxes, regions), "cluster_id").select(*tail)
-    if method == 3:
-        placed = J.center_or_overlap(boxes, regions)
-        own = units(placed.where("region_id >= 0"), "region_id")
-        strays = cut_lineage(placed.where("region_id < 0").drop("region_id"))
-        grown = GR.absorb_near(own.select("page_id", "unit_id", *SIDES), strays)
-        far = drop_matched(strays, grown.select("page_id", *SIDES), lambda x, u: (G.gap_x(u, x) == 0) & (G.gap_y(u, x) == 0))
-        none = boxes.sparkSession.createDataFrame([], "page_id bigint, gutter_x int, gutter_y int")
-        outer = GR.outside_units(far, gutters if gutters is not None else none, page_w, page_h)
-        both = grown.select("page_id", "unit_id", *SIDES).unionByName(outer.select("page_id", (-1 - F.col("cluster_id")).alias("unit_id"), *SIDES))
-        merged = GR.merge_overlaps(both, "touching", 30, row_id="unit_id")
-        return GR.trim_overlaps(merged, "delta", 20, 10, page_w, page_h, row_id="unit_id").withColumn("n", F.lit(None).cast("bigint")).select(*tail)
     if method == 4:
         lines = extract_lines(boxes, regions, page_w, page_h).withColumnRenamed("reading_order", "line_id")
         lines = cut_lineage(lines)
@@ -202,9 +189,9 @@ def layout(boxes: DataFrame, regions: DataFrame, method: int, cuts: DataFrame |
         inner = units(placed.where("region_id >= 0"), "region_id")
         outer = units(GR.proximity_clusters(placed.where("region_id < 0").drop("region_id")), "cluster_id")
         return inner.select(*tail).unionByName(outer.withColumn("unit_id", -1 - F.col("unit_id")).select(*tail))
-    if method in (8, 9):
+    if method == 8:
         if cuts is None:
-            raise ValueError("presets 8 and 9 need the cut lines of the regions")
+            raise ValueError("preset 8 needs the cut lines of the regions")
         placed = J.ioa_tiered(boxes, regions, page_w, page_h).where("region_id IS NOT NULL")
         lobe = half_plane(boxes.withColumnRenamed("box_id", "line_id"), cuts).withColumnRenamed("line_id", "box_id")
         placed = placed.join(lobe, ["page_id", "region_id", "box_id"], "left")
@@ -212,7 +199,4 @@ def layout(boxes: DataFrame, regions: DataFrame, method: int, cuts: DataFrame |
     else:
         placed = J.ioa_tiered(boxes, regions, page_w, page_h).where("region_id IS NOT NULL").withColumn("unit_id", F.col("region_id"))
     out = units(placed, "unit_id")
-    if method in (7, 9):
-        merged = GR.merge_overlaps(out, "alike", 15, row_id="unit_id")
-        return GR.trim_overlaps(merged, "shape", 15, 12, page_w, page_h, row_id="unit_id").withColumn("n", F.lit(None).cast("bigint")).select(*tail)
     return out.select(*tail)

@@ -1,7 +1,7 @@
 """Nested page documents: one JSON per page with one object per stage.
 
 A page with more than ``MAX_ITEMS`` rows in a table is written as several parts, so no document
-gathers an unbounded number of rows; reading simply unites the parts.
+gathers an unbounded number of rows; reading simply unites the parts. Counts in a part are those of the page.
 """
 
 from __future__ import annotations
@@ -75,9 +75,14 @@ def to_page_json(boxes: DataFrame, regions: DataFrame, lines: DataFrame, page_w:
         g = d.groupBy("page_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", item.alias("x")))), lambda x: x["x"]).alias(name))
         stacked = g if stacked is None else stacked.unionByName(g, allowMissingColumns=True)
     d = stacked.groupBy("page_id", "part").agg(*[F.first(n, ignorenulls=True).alias(n) for n in kinds])
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    number = lambda kind: F.count_if(F.col("category") == kind).cast("int")
+    totals = [boxes.groupBy("page_id").agg(F.count("*").cast("int").alias("n_boxes")), regions.groupBy("page_id").agg(F.count("*").cast("int").alias("n_bubbles")),
+              lines.groupBy("page_id").agg(F.count("*").cast("int").alias("n_lines"), *[number(k).alias(f"n_{k}") for k in ("BUBBLED", "ORPHAN", "SFX")])]
+    for total in totals:
+        d = d.join(total, "page_id", "left")
+    size = lambda c: F.coalesce(F.col({"boxes": "n_boxes", "bubbles": "n_bubbles", "lines": "n_lines"}[c]), F.lit(0))
     state = lambda c: F.when(size(c) > 0, "COMPLETED").otherwise("PENDING").alias("status")
-    of = lambda kind: size(F.filter("lines", lambda x: x["category"] == kind))
+    of = lambda kind: F.coalesce(F.col(f"n_{kind}"), F.lit(0))
     doc = F.struct(
         F.col("page_id").alias("page_index"), F.lit(page_w).alias("image_width"), F.lit(page_h).alias("image_height"),
         F.struct(state("boxes"), size("boxes").alias("lines_count"), size("bubbles").alias("bubbles_count"), F.col("boxes").alias("lines"), "bubbles").alias("module_1_ctd"),

@@ -26,11 +26,11 @@ def test_low_row_limit_gives_the_checked_result(spark, con, entry, name):
     assert got == _rows([d[0] for d in cur.description], cur.fetchall())
 
 
-@pytest.mark.parametrize("name", ["grp_reach_seeded", "grp_line_dedup", "grp_edge_trim"])
+@pytest.mark.parametrize("name", ["grp_fixpoint_union", "grp_fixpoint_union_alike", "grp_fixpoint_union_touching"])
 def test_low_row_limit_equals_the_ordinary_plan(spark, entry, name):
     plain = entry.queries()[name](spark, SF)
     want = _rows(plain.columns, plain.collect())
-    spark.conf.set("pagelattice.pageRowLimit", "31" if name != "grp_edge_trim" else "7")
+    spark.conf.set("pagelattice.pageRowLimit", "7")
     try:
         df = entry.queries()[name](spark, SF)
         got = _rows(df.columns, df.collect())

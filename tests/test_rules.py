@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelattice.functions import text as X
-from pagelattice.operators import audits as A, dataset as D, grouping as GR, joins as J, rectlists as R
+from pagelattice.operators import audits as A, dataset as D, grouping as GR, joins as J
 from pagelattice.operators.graph import connected_components, greedy_losers
 from pagelattice.operators.ranking import neighbours, ranked, running, with_previous
 
@@ -130,62 +130,6 @@ def test_small_batch_is_an_error(spark):
     assert D.sample_per_batch(d, 2, 1, "k", check=False).count() == 3
 
 
-def test_trim_leaves_no_overlap_and_dedup_no_pair():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        xs = [{"id": i, "l": int(x), "t": int(y), "r": int(x + w), "b": int(y + h), "category": c} for i, (x, y, w, h, c) in enumerate(
-            zip(rng.integers(0, 300, 12), rng.integers(0, 300, 12), rng.integers(20, 90, 12), rng.integers(20, 90, 12), rng.choice(["BUBBLED", "ORPHAN", "SFX"], 12)))]
-        merged = R.union_until_stable(xs, "touching", 99)
-        for i, p in enumerate(merged):
-            for q in merged[i + 1:]:
-                assert R.inter(R.box(p), R.box(q)) * 100 <= 12 * min(R.area(R.box(p)), R.area(R.box(q)))
-        cut = R.trim_edges(merged, "delta", 20, 10, 512, 800)
-        assert all(R.inter(R.box(p), R.box(q)) == 0 for i, p in enumerate(cut) for q in cut[i + 1:])
-        assert {x["id"] for x in R.dedup_lines(xs)} <= {x["id"] for x in xs}
-        done = R.resolve_crossings(xs, 26, 500, 500)
-        assert all(R.inter(R.box(p), R.box(q)) == 0 for i, p in enumerate(done) for q in done[i + 1:])
-
-
-def test_dedup_prefers_category_then_area():
-    a = {"id": 1, "l": 0, "t": 0, "r": 50, "b": 50, "category": "SFX"}
-    b = {"id": 2, "l": 2, "t": 2, "r": 40, "b": 52, "category": "BUBBLED"}
-    assert R.dedup_lines([a, b]) == [{**b, "l": 0, "t": 0, "r": 50, "b": 52}]
-
-
-def test_columns_follow_the_pitch():
-    frame = [0, 0, 200, 300]
-    xs = [{"l": x, "t": t, "r": x + 20, "b": t + 20} for x in (150, 100, 50) for t in (10, 32, 54)]
-    cols = R.region_columns(xs, frame, 20)
-    assert [c["n_boxes"] for c in cols] == [3, 3, 3]
-    assert all(p["r"] <= q["l"] for p, q in zip(cols, cols[1:])) and all(c["b"] - c["t"] == 64 for c in cols)
-
-
-def test_outside_column_is_dialogue_or_effect():
-    tall = [{"l": 10, "t": t, "r": 30, "b": t + 20} for t in (0, 22, 44)]
-    wide = [{"l": 200, "t": 0, "r": 300, "b": 20}]
-    got = {(c["category"], c["n_boxes"]) for c in R.outside_columns(tall + wide, 20, True)}
-    assert got == {("ORPHAN", 3), ("SFX", 1)}
-
-
-def test_seeded_reach_depends_on_the_seed():
-    small, big = {"id": 1, "l": 0, "t": 0, "r": 10, "b": 10}, {"id": 2, "l": 40, "t": 0, "r": 140, "b": 10}
-    assert [x["cluster_id"] for x in R.seeded_reach([small, big], 150)] == [1, 2]
-    assert [x["cluster_id"] for x in R.seeded_reach([{**big, "id": 1}, {**small, "id": 2}], 150)] == [1, 1]
-
-
-def test_reconcile_covers_open_boxes():
-    boxes = [{"id": 1, "l": 10, "t": 10, "r": 30, "b": 30, "category": "SFX"}, {"id": 2, "l": 300, "t": 300, "r": 320, "b": 320, "category": "BUBBLED"}]
-    out = R.reconcile(boxes, [], [{"l": 0, "t": 0, "r": 100, "b": 100}], 20)
-    assert [x["category"] for x in out] == ["BUBBLED", "ORPHAN"]
-    assert all(R.covered(R.box(b), [R.box(x) for x in out]) for b in boxes)
-
-
-def test_recombined_halves_of_a_glyph():
-    left, right = {"id": 1, "l": 0, "t": 0, "r": 9, "b": 20}, {"id": 2, "l": 11, "t": 0, "r": 20, "b": 20}
-    others = [{"id": 9 + i, "l": 100 * i + 100, "t": 100, "r": 100 * i + 120, "b": 121} for i in range(3)]
-    assert len(R.recombine([left, right, *others], [])) == 4
-
-
 def test_ledger_goldens(spark):
     rows = [(i, 100 + i, 0) for i in range(6)] + [(9, 5, 4)]
     d = spark.createDataFrame(rows, "page_id int, m1_box_count int, v int")
@@ -193,3 +137,22 @@ def test_ledger_goldens(spark):
         d = d.withColumn(m, F.col("v") if m == "width_choking_count" else F.lit(0))
     got = {r.metric: (r.total, r.verdict) for r in A.ledger_summary(d).collect()}
     assert got["width_choking_count"] == (4, "DEFECT") and got["furigana_leaks"] == (0, "PASS") and got["total_violations"][1] is None
+
+
+def test_equal_rows_and_null_sides_stay_in_spatial_matches(spark):
+    boxes = spark.createDataFrame([(1, 5, 0, 0, 10, 10), (1, 5, 0, 0, 10, 10), (1, 6, None, 0, 10, 10)], "page_id int, box_id int, l int, t int, r int, b int")
+    regions = spark.createDataFrame([(1, 7, 0, 0, 20, 20)], "page_id int, region_id int, l int, t int, r int, b int")
+    got = sorted((r.box_id, r.region_id) for r in J.max_intersection(boxes, regions).collect())
+    assert got == [(5, 7), (5, 7), (6, None)]
+
+
+def test_union_goes_on_to_the_fixpoint(spark):
+    """Twelve overlapping pairs on one page: all are united, whatever the page's size counts as."""
+    rows = [(1, 2 * i + k, 0, 100 * i, 20, 100 * i + 20 + k) for i in range(12) for k in (0, 1)]
+    d = spark.createDataFrame(rows, "page_id int, box_id int, l int, t int, r int, b int")
+    for limit in ("5", "2000"):
+        spark.conf.set("pagelattice.pageRowLimit", limit)
+        try:
+            assert sorted(r.box_id for r in GR.merge_overlaps(d).collect()) == [2 * i for i in range(12)]
+        finally:
+            spark.conf.unset("pagelattice.pageRowLimit")
