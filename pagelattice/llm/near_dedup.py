@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked when their shingle sets share at least ``percent`` of their union, decided on the full sets.
     Documents with equal sets become one representative before anything else, so thousands of copies are one entry. In each
     bucket of a band, representatives are verified against a leader, and components form. Buckets that still hold several
-    components are cut into parts by hash, and tasks compare signatures of two parts: first each component's
+    components are cut into parts by hash, and tasks compare signatures of two parts: twice each component's
     likeliest pair with another is verified, then, with the components that gives, every pair across components whose
     signatures agree within four standard deviations of the wanted similarity. So a pair that shares a bucket is verified
     unless its ends are already connected or its signatures rule it out (three in 100,000 at the very threshold).
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = stash(verified(live.select(F.col("leader").alias("a"), F.col("rep").alias("b"))))
     marks = stash(full.select(F.col("doc_id").alias("rep"), "s1", "s2", "bands", "short").join(equal, ["rep", "s1", "s2"]).select("rep", "bands", "short")
                   .join(wanted.withColumnRenamed("doc_id", "rep"), "rep"))
-    for best in (True, False):
+    for best in (True, True, False):
         groups = components(links)
         placed = stash(live.select("key", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
                        .select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
