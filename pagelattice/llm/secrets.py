@@ -133,27 +133,27 @@ def _written(spans: Column, rules) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` -> its columns and ``found``: an array of (start, kind, end) in code points, end exclusive, by start and then rule.
+def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "found") -> DataFrame:
+    """``docs`` -> its columns and ``into``: an array of (start, kind, end) in code points, end exclusive, by start and then rule.
 
     A posting (trigram, document) is made for each trigram that a rule asks for; postings are intersected per document by
     the rules' Boolean queries; only candidates of a rule are verified with its expression. Rules without a mandatory
     trigram are verified on every text. Documents are keyed by a hash of id and text: were two keys equal, both would only
-    be verified for more rules. Null texts count as empty. Columns named ``_key``, ``_rules`` or ``found`` are replaced.
+    be verified for more rules. Null texts count as empty. A column of the name ``into`` is replaced.
     """
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for alternative in q for g in alternative})
     if len(grams) > 63:
         raise ValueError("the rules ask for more than 63 trigrams")
-    keyed = docs.drop("_key", "_rules", "found").withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.drop(into).withColumn("_secret_key", F.xxhash64("doc_id", "text"))
     asks_nothing = [frozenset() in q for q in queries]
     always = sum(1 << i for i, free in enumerate(asks_nothing) if free)
     if grams:
         low = F.lower(F.col("text"))
         present = F.filter(F.transform(F.array(*[F.lit(g) for g in grams]), lambda g: F.when(F.contains(F.col("low"), g), g)), lambda g: g.isNotNull())
-        postings = keyed.select("_key", low.alias("low")).select(F.explode(present).alias("gram"), "_key")
+        postings = keyed.select("_secret_key", low.alias("low")).select(F.explode(present).alias("gram"), "_secret_key")
         bit = F.create_map(*[x for i, g in enumerate(grams) for x in (F.lit(g), F.lit(1 << i).cast("long"))])
-        held = postings.groupBy("_key").agg(F.bit_or(bit[F.col("gram")]).alias("held"))
+        held = postings.groupBy("_secret_key").agg(F.bit_or(bit[F.col("gram")]).alias("held"))
         masks = [[sum(1 << grams.index(g) for g in alternative) for alternative in q] for q in queries]
         wanted = F.lit(0)
         for i, alternatives in enumerate(masks):
@@ -162,14 +162,14 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 for m in alternatives:
                     holds = holds | (F.col("held").bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
                 wanted = wanted.bitwiseOR(F.when(holds, F.lit(1 << i)).otherwise(F.lit(0)))
-        candidates = stash(held.select("_key", wanted.alias("_rules")).where("_rules > 0"))
-        keyed = keyed.join(candidates, "_key", "left")
+        candidates = stash(held.select("_secret_key", wanted.alias("_secret_rules")).where("_secret_rules > 0"))
+        keyed = keyed.join(candidates, "_secret_key", "left")
     else:
-        keyed = keyed.withColumn("_rules", F.lit(None).cast("int"))
-    asked = F.coalesce(F.col("_rules"), F.lit(0)).bitwiseOR(F.lit(always))
+        keyed = keyed.withColumn("_secret_rules", F.lit(None).cast("int"))
+    asked = F.coalesce(F.col("_secret_rules"), F.lit(0)).bitwiseOR(F.lit(always))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = F.array_sort(F.concat(*[F.when(asked.bitwiseAND(F.lit(1 << i)) > 0, _spans(text_or_empty(), r, i)).otherwise(none) for i, r in enumerate(rules)]))
-    return keyed.withColumn("found", found).drop("_key", "_rules")
+    return keyed.withColumn(into, found).drop("_secret_key", "_secret_rules")
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
@@ -181,11 +181,11 @@ def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[sec
         text = F.when(new, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
 
-    cut = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    cut = F.aggregate("_secret_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                       lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    out = secret_spans(docs, rules).withColumn("text", F.when(F.size("found") > 0, cut).otherwise(F.col("text")))
+    out = secret_spans(docs, rules, "_secret_found").withColumn("text", F.when(F.size("_secret_found") > 0, cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("_secret_found") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
 
 
