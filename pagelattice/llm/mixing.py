@@ -94,12 +94,13 @@ def soft_domains(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFra
 
 def rate_of(steps: list[list[float]], domains: Column) -> Column:
     """A document's rate after the steps taken so far: each moves it against its gradient, and never below zero."""
-    if not steps:
-        return F.lit(1.0)
-    text = ";".join(",".join(repr(x) for x in g) for g in steps)  # folded to a constant of a few hundred numbers
-    taken = F.transform(F.split(F.lit(text), ";"), lambda g: F.split(g, ",").cast("array<double>"))
-    dot = lambda g: F.aggregate(F.zip_with(g, domains, lambda x, p: x * p), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(taken, F.lit(1.0), lambda rate, g: F.greatest(F.lit(0.0), rate - dot(g)))
+    rate = F.lit(1.0)
+    for step in steps:  # one expression of compiled code: a few products for each step
+        moved = F.lit(0.0)
+        for i, g in enumerate(step):
+            moved = moved + F.lit(g) * domains[i]
+        rate = F.greatest(F.lit(0.0), rate - moved)
+    return rate
 
 
 def fit_rates(soft: DataFrame, targets: dict[str, float]) -> list[list[float]]:
