@@ -9,47 +9,65 @@ from pyspark.sql import functions as F
 from pagelattice.llm.common import stash
 
 
+#: Nodes that a task holds before it sends what it knows and starts anew (about 200 MB).
+HELD = 1_000_000
+
+
 def _forest(batches):
-    """The links of one batch as (node, smallest node of its tree): at most one row for each node."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """The links of a task as (node, smallest node of its tree): at most one row for each node it holds."""
+    parent: dict[int, int] = {}
 
-        def root(x):
-            top = x
-            while parent.setdefault(top, top) != top:
-                top = parent[top]
-            while parent[x] != top:
-                parent[x], x = top, parent[x]
-            return top
+    def root(x):
+        top = x
+        while parent.setdefault(top, top) != top:
+            top = parent[top]
+        while parent[x] != top:
+            parent[x], x = top, parent[x]
+        return top
 
+    def known():
+        pairs = [(x, root(x)) for x in parent]
+        pairs = [p for p in pairs if p[0] != p[1]]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             x, y = root(a), root(b)
             if x != y:
                 parent[max(x, y)] = min(x, y)
-        pairs = [(x, root(x)) for x in parent]
-        pairs = [p for p in pairs if p[0] != p[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        if len(parent) >= HELD:
+            yield known()
+            parent.clear()
+    yield known()
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """Links dealt anew and united within each task; tasks of a small table are merged, so that one task sees all of it."""
+    return stash(edges.mapInArrow(_forest, "a long, b long").distinct().mapInArrow(_forest, "a long, b long"))
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that hangs on none. Both ends of an edge are pre-aggregated, a hub is one row."""
+    ends = edges.select(F.col("a").alias("node"), F.col("b").alias("up")).union(edges.select("b", F.lit(None).cast("long"))) \
+        .groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.bool_or(F.col("up").isNull()).alias("top"))
+    return ends.where("low <> high or (low is not null and top)").isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of 64-bit ids -> ``(node, component)``: the smallest id that a node reaches. Nodes without links are absent.
 
-    Each round hangs every larger neighbour on the smallest one (large star) and then every node's smaller neighbours on
-    the smallest of them (small star). Minima are pre-aggregated and written before they are joined, so that both sides of
-    the join are plain exchanges and adaptive execution can split a hub. Rounds grow with the logarithm
-    of the longest chain. Links with a null end are ignored; an empty table gives an empty one.
+    Tasks unite their links, and are dealt what others found. Until all trees are stars, each round hangs every larger
+    neighbour on the smallest one (large star) and then every node's smaller neighbours on the smallest of them (small
+    star). Minima are pre-aggregated and written before they are joined, so that both sides of the join are plain exchanges
+    and adaptive execution can split a hub. Rounds grow with the logarithm of the longest chain. Links with a null end are
+    ignored; an empty table gives an empty one.
     """
-    edges = stash(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").mapInArrow(_forest, "a long, b long")
-                  .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    while True:
+    edges = _joined(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"))
+    while not _are_stars(edges):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = stash(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = stash(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = stash(small.where("a <> b").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007), F.sum(F.xxhash64("b", "a") % 998_244_353)).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = state
+        edges = _joined(small.where("a <> b"))
+    return edges.distinct().select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -107,7 +107,7 @@ def _alike(percent: int):
 
 def _plausible(percent: int, best: bool):
     """Two parts of a bucket: pairs from different components whose sizes and signatures allow the wanted similarity, each in
-    the first band that both share. With ``best``, only the likeliest pair of each component in sight."""
+    the first band that both share. With ``best``, the likeliest pair of each component in sight, with that component."""
     j = percent / 100
     least = (j - SIGMAS * (j * (1 - j) / SLOTS) ** 0.5) * SLOTS
 
@@ -129,19 +129,17 @@ def _plausible(percent: int, best: bool):
             keep = (bands[x][shared.argmax(1)] == key) & shared.any(1) & (same >= least)
             if keep.any():
                 out.append((np.full(keep.sum(), rep[x]), rep[y[keep]], same[keep]))
-        if not out:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        left, right, same = (np.concatenate(o) for o in zip(*out, strict=True))
+        left, right, same = (np.concatenate(o) for o in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         if best:  # one pair for each component in sight but the most frequent one
             owner = dict(zip(rep.tolist(), c.tolist(), strict=True))
             names, sizes = np.unique(c, return_counts=True)
-            main, done, at = names[sizes.argmax()], set(), []
+            main, done, at, of = names[sizes.argmax()], set(), [], []
             for k in np.argsort(-same, kind="stable"):
-                ends = {owner[int(left[k])], owner[int(right[k])]} - {main}
-                if not ends <= done:
-                    done |= ends
+                for end in {owner[int(left[k])], owner[int(right[k])]} - {main} - done:
+                    done.add(end)
                     at.append(k)
-            left, right = left[at], right[at]
+                    of.append(end)
+            return pa.table({"c": pa.array(of, pa.int64()), "a": left[at], "b": right[at], "same": same[at].astype(np.int64)})
         return pa.table({"a": left, "b": right})
     return run
 
@@ -188,7 +186,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         rest = placed.join(split, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).join(marks, "rep") \
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) \
             .select("key", "rep", "n", "c", "bands", "short", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-        links = stash(links.union(verified(rest.groupBy("key", "i", "j").applyInArrow(_plausible(percent, best), "a long, b long"))))
+        parts = rest.groupBy("key", "i", "j")
+        if best:
+            seen = parts.applyInArrow(_plausible(percent, True), "c long, a long, b long, same long")
+            pairs = seen.groupBy("c").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
+        else:
+            pairs = parts.applyInArrow(_plausible(percent, False), "a long, b long")
+        links = stash(links.union(verified(pairs)))
     named = components(links).withColumnRenamed("node", "rep")
     named = stash(equal.join(named, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

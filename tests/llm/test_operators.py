@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from pagelattice.llm import bpe, embedding_dedup, fingerprints, mixing, near_dedup, packing, quality, secrets, substring_dedup, token_counts
 from pagelattice.llm.common import shared_folder
+from pagelattice.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, found string, _key string, words string"
@@ -71,6 +72,26 @@ def test_near_duplicates(docs, texts):
     same([tuple(r) for r in near_dedup.near_duplicates(docs, 4).collect()], [(i, len(s), low[i], i is None or low[i] == i) for i, s in sets])
 
 
+@pytest.mark.parametrize("merged", ["true", "false"])
+def test_components(spark, merged):
+    """Chains, a hub, equal and null links, over tasks that see all links or few."""
+    rnd = random.Random(9)
+    links = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(300, 340)] + [(500 - i, 499 - i) for i in range(30)] + [(7, 7), (None, 3), (4, None), (7, 300)]
+    rnd.shuffle(links)
+    whole = {a: a for pair in links for a in pair if a is not None}
+    for _ in range(100):
+        for a, b in links:
+            if a is not None and b is not None:
+                whole[a] = whole[b] = min(whole[a], whole[b])
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", merged)
+    try:
+        got = components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert sorted(map(tuple, got)) == sorted((n, c) for n, c in whole.items() if n != c)
+
+
 def test_secrets(docs):
     r = {x.doc_id: x for x in secrets.scan_report(docs).collect()}[57]
     assert (r.n_assign, r.n_access, r.n_hex) == (2, 1, 1)
