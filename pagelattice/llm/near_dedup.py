@@ -18,6 +18,8 @@ ROWS, BANDS = 5, 42
 CHUNK = 600_000
 #: Representatives of one part of a bucket; a task compares two parts by their signatures.
 PART = 256
+#: Cells of the counts by hash that bound an intersection from above; a set with a full cell isn't bounded by them.
+CELLS, FULL = 512, 255
 #: Standard deviations of a signature's estimate below the wanted similarity at which a pair is still verified.
 SIGMAS = 4.0
 
@@ -62,6 +64,17 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
+def cell_counts(items: np.ndarray) -> np.ndarray:
+    """How many elements of a set fall in each cell; two sets share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((items % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), FULL).astype(np.uint8)
+
+
+def _may_be_alike(x: np.ndarray, y: np.ndarray, nx: int, ny: np.ndarray, percent: int) -> np.ndarray:
+    """False only where the cell counts prove that ``x`` and a row of ``y`` are less alike."""
+    most = np.minimum(x, y).sum(1, dtype=np.int64)
+    return (100 * most >= percent * (nx + ny - most)) | (x.max() == FULL) | (y.max(1, initial=0) == FULL)
+
+
 def _describe(width: int):
     def run(batches):
         for batch in batches:
@@ -74,7 +87,7 @@ def _describe(width: int):
                 zero = np.zeros(0, np.int64)
                 bands = [next(keys) if len(s) else zero for s in sets]
                 short = iter((mix(marks) & np.uint64(255)).astype(np.uint8))
-                short = [next(short).tobytes() if len(s) else b"" for s in sets]
+                short = [next(short).tobytes() + cell_counts(s).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(part_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
@@ -106,7 +119,7 @@ def _alike(percent: int):
 
 
 def _plausible(percent: int, best: bool):
-    """Two parts of a bucket: pairs from different components whose sizes and signatures allow the wanted similarity, each in
+    """Two parts of a bucket: pairs from different components whose sizes, signatures and cell counts allow the wanted similarity, each in
     the first band that both share. With ``best``, the likeliest pair of each component in sight, with that component."""
     j = percent / 100
     least = (j - SIGMAS * (j * (1 - j) / SLOTS) ** 0.5) * SLOTS
@@ -115,7 +128,8 @@ def _plausible(percent: int, best: bool):
         key, first, second = (t.column(c)[0].as_py() for c in ("key", "i", "j"))
         part, rep, n, c = (t.column(x).to_numpy() for x in ("part", "rep", "n", "c"))
         bands = np.array(t.column("bands").to_pylist(), np.int64)
-        short = np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, SLOTS)
+        short = np.frombuffer(b"".join(t.column("short").to_pylist()), np.uint8).reshape(t.num_rows, SLOTS + CELLS)
+        short, cells = short[:, :SLOTS], short[:, SLOTS:]
         a, b = np.flatnonzero(part == first), np.flatnonzero(part == second)
         out = []
         for x in a:
@@ -126,9 +140,10 @@ def _plausible(percent: int, best: bool):
                 continue
             shared = bands[y] == bands[x]
             same = (short[y] == short[x]).sum(1)
-            keep = (bands[x][shared.argmax(1)] == key) & shared.any(1) & (same >= least)
-            if keep.any():
-                out.append((np.full(keep.sum(), rep[x]), rep[y[keep]], same[keep]))
+            keep = np.flatnonzero((bands[x][shared.argmax(1)] == key) & shared.any(1) & (same >= least))
+            keep = keep[_may_be_alike(cells[x], cells[y[keep]], n[x], n[y[keep]], percent)]
+            if len(keep):
+                out.append((np.full(len(keep), rep[x]), rep[y[keep]], same[keep]))
         left, right, same = (np.concatenate(o) for o in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         if best:  # one pair for each component in sight but the most frequent one
             owner = dict(zip(rep.tolist(), c.tolist(), strict=True))
@@ -152,7 +167,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bucket of a band, representatives are verified against a leader, and components form. Buckets that still hold several
     components are cut into parts by hash, and tasks compare signatures of two parts: twice each component's
     likeliest pair with another is verified, then, with the components that gives, every pair across components whose
-    signatures agree within four standard deviations of the wanted similarity. So a pair that shares a bucket is verified
+    signatures agree within four standard deviations of the wanted similarity and whose counts of elements by hash cell don't
+    prove them less alike. So a pair that shares a bucket is verified
     unless its ends are already connected or its signatures rule it out (three in 100,000 at the very threshold).
 
     Null and word-less texts have no shingles, link with nothing and are kept. Rows that share a doc_id are each judged by

@@ -72,6 +72,19 @@ def test_near_duplicates(docs, texts):
     same([tuple(r) for r in near_dedup.near_duplicates(docs, 4).collect()], [(i, len(s), low[i], i is None or low[i] == i) for i, s in sets])
 
 
+def test_cell_counts_bound_the_intersection():
+    rnd = np.random.default_rng(3)
+    for size in (1, 40, 700, 400_000):
+        x = np.unique(rnd.integers(0, 2**63, size).astype(np.uint64))
+        for share in (0.0, 0.5, 0.889, 0.9, 1.0):
+            y = np.unique(np.concatenate([x[:int(len(x) * share)], rnd.integers(0, 2**63, len(x) - int(len(x) * share)).astype(np.uint64)]))
+            both = len(np.intersect1d(x, y))
+            alike = 100 * both >= 80 * (len(x) + len(y) - both)
+            may = near_dedup._may_be_alike(near_dedup.cell_counts(x), near_dedup.cell_counts(y)[None], len(x), np.array([len(y)]), 80)[0]
+            assert may or not alike
+            assert not (may and share == 0.0 and 40 <= size <= 700)
+
+
 @pytest.mark.parametrize("merged", ["true", "false"])
 def test_components(spark, merged):
     """Chains, a hub, equal and null links, over tasks that see all links or few."""
