@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +43,11 @@ def _forest(batches):
     yield known()
 
 
-def _joined(edges: DataFrame) -> DataFrame:
-    """Links dealt anew and united within each task; tasks of a small table are merged, so that one task sees all of it."""
-    return stash(edges.mapInArrow(_forest, "a long, b long").distinct().mapInArrow(_forest, "a long, b long"))
+def _joined(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Links united within each task, dealt anew to as many tasks as their number asks for and united again; whether one task saw all."""
+    united = stash(edges.mapInArrow(_forest, "a long, b long"))
+    tasks = max(1, math.ceil(united.count() / (HELD // 2)))  # the ends of so many links are held at once
+    return stash(united.repartition(tasks).mapInArrow(_forest, "a long, b long")), tasks == 1
 
 
 def _are_stars(edges: DataFrame) -> bool:
@@ -56,18 +60,19 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` of 64-bit ids -> ``(node, component)``: the smallest id that a node reaches. Nodes without links are absent.
 
-    Tasks unite their links, and are dealt what others found. Until all trees are stars, each round hangs every larger
+    Tasks unite their links, and are dealt what others found, at most ``HELD // 2`` links a task. Until all trees are stars, as they
+    are where one task holds them all, each round hangs every larger
     neighbour on the smallest one (large star) and then every node's smaller neighbours on the smallest of them (small
     star). Minima are pre-aggregated and written before they are joined, so that both sides of the join are plain exchanges
     and adaptive execution can split a hub. Rounds grow with the logarithm of the longest chain. Links with a null end are
     ignored; an empty table gives an empty one.
     """
-    edges = _joined(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"))
-    while not _are_stars(edges):
+    edges, whole = _joined(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b"))
+    while not (whole or _are_stars(edges)):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = stash(both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         low = stash(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = _joined(small.where("a <> b"))
+        edges, whole = _joined(small.where("a <> b"))
     return edges.distinct().select(F.col("a").alias("node"), F.col("b").alias("component"))

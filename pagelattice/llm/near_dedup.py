@@ -69,10 +69,16 @@ def cell_counts(items: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((items % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), FULL).astype(np.uint8)
 
 
+def _most_alike(x: np.ndarray, y: np.ndarray, nx: int, ny: np.ndarray) -> np.ndarray:
+    """The most elements that ``x`` and each row of ``y`` can share by their cell counts."""
+    full = (x.max(initial=0) == FULL) | (y.max(1, initial=0) == FULL)
+    return np.where(full, np.minimum(nx, ny), np.minimum(x, y).sum(1, dtype=np.int64))
+
+
 def _may_be_alike(x: np.ndarray, y: np.ndarray, nx: int, ny: np.ndarray, percent: int) -> np.ndarray:
     """False only where the cell counts prove that ``x`` and a row of ``y`` are less alike."""
-    most = np.minimum(x, y).sum(1, dtype=np.int64)
-    return (100 * most >= percent * (nx + ny - most)) | (x.max() == FULL) | (y.max(1, initial=0) == FULL)
+    most = _most_alike(x, y, nx, ny)
+    return 100 * most >= percent * (nx + ny - most)
 
 
 def _describe(width: int):
@@ -143,7 +149,9 @@ def _plausible(percent: int, best: bool):
             keep = np.flatnonzero((bands[x][shared.argmax(1)] == key) & shared.any(1) & (same >= least))
             keep = keep[_may_be_alike(cells[x], cells[y[keep]], n[x], n[y[keep]], percent)]
             if len(keep):
-                out.append((np.full(len(keep), rep[x]), rep[y[keep]], same[keep]))
+                most = _most_alike(cells[x], cells[y[keep]], n[x], n[y[keep]])
+                likely = np.minimum(same[keep] / SLOTS, most / (n[x] + n[y[keep]] - most))
+                out.append((np.full(len(keep), rep[x]), rep[y[keep]], likely))
         left, right, same = (np.concatenate(o) for o in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
         if best:  # one pair for each component in sight but the most frequent one
             owner = dict(zip(rep.tolist(), c.tolist(), strict=True))
@@ -154,7 +162,7 @@ def _plausible(percent: int, best: bool):
                     done.add(end)
                     at.append(k)
                     of.append(end)
-            return pa.table({"c": pa.array(of, pa.int64()), "a": left[at], "b": right[at], "same": same[at].astype(np.int64)})
+            return pa.table({"c": pa.array(of, pa.int64()), "a": left[at], "b": right[at], "same": same[at].astype(np.float64)})
         return pa.table({"a": left, "b": right})
     return run
 
@@ -165,7 +173,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     Two documents are linked when their shingle sets share at least ``percent`` of their union, decided on the full sets.
     Documents with equal sets become one representative before anything else, so thousands of copies are one entry. In each
     bucket of a band, representatives are verified against a leader, and components form. Buckets that still hold several
-    components are cut into parts by hash, and tasks compare signatures of two parts: twice each component's
+    components are cut into parts by hash, and tasks compare signatures of two parts: first each component's
     likeliest pair with another is verified, then, with the components that gives, every pair across components whose
     signatures agree within four standard deviations of the wanted similarity and whose counts of elements by hash cell don't
     prove them less alike. So a pair that shares a bucket is verified
@@ -193,7 +201,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = stash(verified(live.select(F.col("leader").alias("a"), F.col("rep").alias("b"))))
     marks = stash(full.select(F.col("doc_id").alias("rep"), "s1", "s2", "bands", "short").join(equal, ["rep", "s1", "s2"]).select("rep", "bands", "short")
                   .join(wanted.withColumnRenamed("doc_id", "rep"), "rep"))
-    for best in (True, True, False):
+    for best in (True, False):
         groups = components(links)
         placed = stash(live.select("key", "rep", "n").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
                        .select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
@@ -204,7 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             .select("key", "rep", "n", "c", "bands", "short", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
         parts = rest.groupBy("key", "i", "j")
         if best:
-            seen = parts.applyInArrow(_plausible(percent, True), "c long, a long, b long, same long")
+            seen = parts.applyInArrow(_plausible(percent, True), "c long, a long, b long, same double")
             pairs = seen.groupBy("c").agg(F.max(F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b")
         else:
             pairs = parts.applyInArrow(_plausible(percent, False), "a long, b long")
