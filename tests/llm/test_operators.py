@@ -85,9 +85,10 @@ def test_cell_counts_bound_the_intersection():
             assert not (may and share == 0.0 and 40 <= size <= 700)
 
 
-@pytest.mark.parametrize("merged", ["true", "false"])
-def test_components(spark, merged):
-    """Chains, a hub, equal and null links, over tasks that see all links or few."""
+@pytest.mark.parametrize(("merged", "held"), [("true", 1_000_000), ("false", 16)])
+def test_components(spark, monkeypatch, merged, held):
+    """Chains, a hub, equal and null links, over one task that sees all links or many that see few and need star rounds."""
+    monkeypatch.setattr("pagelattice.llm.components.HELD", held)
     rnd = random.Random(9)
     links = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(300, 340)] + [(500 - i, 499 - i) for i in range(30)] + [(7, 7), (None, 3), (4, None), (7, 300)]
     rnd.shuffle(links)
