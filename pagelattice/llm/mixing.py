@@ -1,4 +1,4 @@
-"""Mixing documents to target domain weights: soft domains from a classifier, rates by distributed projected gradient."""
+"""Mixing documents to target domain weights: soft domains from a classifier, rates by distributed Newton steps."""
 
 from __future__ import annotations
 
@@ -18,8 +18,8 @@ DOMAINS = ("plain", "junk", "toxic")
 TARGETS = {"plain": 0.985, "junk": 0.010, "toxic": 0.005}
 #: Feature buckets (with the domains they bound the shared weights: 6 MB) and the most labelled documents that fit them.
 BUCKETS, MOST_LABELLED = 1 << 18, 10_000
-#: Steps and relative error at which the fit ends.
-MOST_STEPS, CLOSE = 40, 1e-6
+#: Relative error at which the fit ends, and the weight of a ridge that settles targets which no rates reach.
+CLOSE, RIDGE = 1e-6, 1e-9
 TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 
 
@@ -92,41 +92,63 @@ def soft_domains(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFra
     return docs.select(names).mapInArrow(_posteriors(shared, keep), f"{fields}, _tokens long, _domains array<double>")
 
 
-def rate_of(steps: list[list[float]], domains: Column) -> Column:
-    """A document's rate after the steps taken so far: each moves it against its gradient, and never below zero."""
+def rate_of(prices: list[float], domains: Column) -> Column:
+    """A document's rate: 1 less the prices of its posteriors, and never below zero."""
     rate = F.lit(1.0)
-    for step in steps:  # one expression of compiled code: a few products for each step
-        moved = F.lit(0.0)
-        for i, g in enumerate(step):
-            moved = moved + F.lit(g) * domains[i]
-        rate = F.greatest(F.lit(0.0), rate - moved)
-    return rate
+    for i, x in enumerate(prices):
+        rate = rate - F.lit(x) * domains[i]
+    return F.greatest(F.lit(0.0), rate)
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float]) -> list[list[float]]:
-    """Steps whose replay gives each document's rate.
+def fit_rates(soft: DataFrame, targets: dict[str, float]) -> list[float]:
+    """A price for each domain, from which each document's rate follows.
 
-    Least squares of the domains' expected token totals against their targets, over nonnegative rates, from rates of 1. A
-    document's gradient is its posteriors times the weighted residual, measured per token so that long texts move no more
-    than short ones; with the inverse Gram matrix as the weight of the residuals the step length is 1. A step is one
-    aggregation of a few sums; the driver keeps one vector of domains per step, and rates are never stored or shuffled.
+    The rates are those nearest to 1 (squares, by token) that are not negative and bring the domains' expected token totals
+    to their targets; a ridge of RIDGE makes that the nearest totals where no rates reach them. Such rates are ``rate_of`` prices
+    that minimise a convex function whose gradient is targets less totals. Each step is Newton's, over the documents whose
+    rate is not clipped, and halved until the function falls; steps go on to convergence. A step is one aggregation of a few
+    sums; the driver keeps one price per domain, and rates are never stored or shuffled.
     """
     k = len(DOMAINS)
-    d, n = F.col("_domains"), F.col("_tokens")
-    sums = soft.agg(*[F.sum(d[i] * d[j] * n) for i in range(k) for j in range(k)], *[F.sum(d[i] * n) for i in range(k)]).first()
-    if sums[0] is None or not sum(sums[k * k:]):
+    d, n, r = F.col("_domains"), F.col("_tokens"), F.col("_rate")
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
+        """Of all documents: squared rates, expected totals, and the Gram matrix of those not clipped."""
+        live = F.when(r > 0, n).otherwise(0)
+        row = soft.select("_domains", "_tokens", rate_of([float(x) for x in prices], d).alias("_rate")) \
+            .agg(F.sum(n * r * r), *[F.sum(d[i] * n * r) for i in range(k)], *[F.sum(d[i] * d[j] * live) for i, j in cells]).first()
+        if not row[0]:
+            return None if row[0] is None else (0.0, np.zeros(k), np.zeros((k, k)))
+        gram = np.zeros((k, k))
+        for (i, j), x in zip(cells, row[1 + k:], strict=True):
+            gram[i, j] = gram[j, i] = x
+        return float(row[0]), np.array(row[1:1 + k], float), gram
+
+    at = np.zeros(k)
+    found = sums(at)
+    if found is None or not found[0]:
         return []
-    gram, now = np.array(sums[:k * k], float).reshape(k, k), np.array(sums[k * k:], float)
-    weight = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k))
-    goal = np.array([targets[x] for x in DOMAINS]) * now[0] / targets[DOMAINS[0]]  # the first domain keeps its total
-    steps: list[list[float]] = []
-    while True:
-        off = now - goal
-        if np.abs(off).sum() <= CLOSE * goal.sum() or len(steps) == MOST_STEPS:
-            return steps
-        steps.append([float(x) for x in weight @ off])
-        rate = rate_of(steps, d)
-        now = np.array(soft.select("_domains", "_tokens", rate.alias("r")).agg(*[F.sum(d[i] * n * F.col("r")) for i in range(k)]).first(), float)
+    whole = found[0]  # at rates of 1 the squares add up to all tokens
+    goal = np.array([targets[x] for x in DOMAINS]) * found[1][0] / targets[DOMAINS[0]]  # the first domain keeps its total
+
+    def judged(found, prices):
+        squares, now, gram = found
+        return (squares / 2 + prices @ goal) / whole + RIDGE / 2 * prices @ prices, (goal - now) / whole + RIDGE * prices, gram / whole + RIDGE * np.eye(k)
+
+    value, slope, gram = judged(found, at)
+    while np.abs(slope).sum() * whole > CLOSE * goal.sum():
+        move, part = -np.linalg.solve(gram, slope), 1.0
+        while True:
+            there = at + part * move
+            if (there == at).all():  # the function falls no more in double precision
+                return [float(x) for x in at]
+            new = judged(sums(there), there)
+            if new[0] <= value + 1e-4 * part * (slope @ move):
+                break
+            part /= 2
+        at, (value, slope, gram) = there, new
+    return [float(x) for x in at]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
