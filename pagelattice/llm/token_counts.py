@@ -15,27 +15,36 @@ from pagelattice.llm.pretokens import PIECE, PIECE_CACHE, read_bpe
 
 #: Trie nodes a worker holds before it starts anew (about 150 MB).
 MOST_NODES = 400_000
-#: Longest vocabulary entry that is tried, in bytes.
-LONGEST = 32
 
 
 def scores_of(path: str) -> dict[bytes, float]:
-    """Log probabilities by Zipf's law over the vocabulary's ranks (ids); entries of over ``LONGEST`` bytes are left out, single
-    bytes are all in. The model is read from a public vocabulary, not trained."""
+    """Log probabilities by Zipf's law over the vocabulary's ranks (ids), for entries of any length; single bytes are all in.
+    The model is read from a public vocabulary, not trained."""
     of, _, added = read_bpe(path)
     hidden = set(added.values())
-    entries = [(i, t) for i, t in enumerate(of) if i not in hidden and 0 < len(t) <= LONGEST]
+    entries = [(i, t) for i, t in enumerate(of) if i not in hidden and t]
     total = math.log(sum(1 / (i + 1) for i, _ in entries))
     return {t: -math.log(i + 1) - total for i, t in entries}
 
 
 class CountingTrie:
     """A node is a prefix of some pre-token; it holds the best score of the prefix and the fewest tokens of that score, found from
-    the nodes on its path. A pre-token's count stands at its last node."""
+    the nodes on its path. A pre-token's count stands at its last node. Entries that end at a byte are found by walking back over
+    the text in a second trie, of the reversed entries, so no start is tried that no entry reaches."""
 
     def __init__(self, scores: dict[bytes, float], most: int = MOST_NODES):
-        self.scores, self.most = scores, most
-        self.longest = max(map(len, scores))
+        self.most = most
+        self.back: dict[int, int] = {}
+        self.scores: list[float | None] = [None]
+        for entry, score in scores.items():
+            at = 0
+            for c in reversed(entry):
+                key = at << 8 | c
+                at = self.back.get(key, 0)
+                if not at:
+                    at = self.back[key] = len(self.scores)
+                    self.scores.append(None)
+            self.scores[at] = score
         self.known: dict[str, int] = {}
         self.clear()
 
@@ -46,7 +55,7 @@ class CountingTrie:
     def insert(self, raw: bytes) -> int:
         if len(self.best) >= self.most:
             self.clear()
-        child, best, tokens, scores, longest = self.child, self.best, self.tokens, self.scores, self.longest
+        child, best, tokens, scores, back = self.child, self.best, self.tokens, self.scores, self.back.get
         path, at, end = [0], 0, 0
         for c in raw:
             end += 1
@@ -54,8 +63,13 @@ class CountingTrie:
             at = child.get(key)
             if at is None:
                 top, fewest = -math.inf, 0
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(raw[start:end])
+                entry, start = 0, end
+                while start:
+                    start -= 1
+                    entry = back(entry << 8 | raw[start])
+                    if entry is None:
+                        break
+                    score = scores[entry]
                     if score is not None:
                         from_ = path[start]
                         total, count = best[from_] + score, tokens[from_] + 1
