@@ -26,12 +26,18 @@ class Rule:
     base: bool = False
 
 
+#: What follows a private key's first line: all up to its END line if no other marker is between, or without one its header lines,
+#: runs of 16 and more base64 digits between white space, quotation marks and escapes, and one shorter run that ends them.
+#: Repeats are possessive, so that neither language goes deeper into its stack with a longer body.
+PEM_GAP, PEM_DIGIT = r"""(?:[\s"'`>|#*,;.]|\\++[nrt]?|[+](?=\s))""", r"(?:[A-Za-z0-9+/=]|\\++/)"
+PEM_BODY = rf"""(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----|(?:{PEM_GAP}*+(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]++)*+(?:(?:{PEM_GAP}*+{PEM_DIGIT}{{16,}}+)++(?:{PEM_GAP}++{PEM_DIGIT}++)?+)?+)"""
+
 #: The three base kinds in their order, then the kinds that this method adds.
 RULES = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----" + PEM_BODY),
     Rule("hub", r"gh[opsu]_[A-Za-z0-9]{30,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
 )
