@@ -165,8 +165,7 @@ def _(t):
 def _(t):
     def frame(pdf):
         return pd.DataFrame({"page_id": pdf["page_id"].head(1), "l": pdf["l"].min(), "t": pdf["t"].min(), "r": pdf["r"].max(), "b": pdf["b"].max()})
-    d = MO.per_page(plain(t), frame, "page_id bigint, l int, t int, r int, b int", row_id="box_id")
-    return d.groupBy("page_id").agg(F.min("l").alias("l"), F.min("t").alias("t"), F.max("r").alias("r"), F.max("b").alias("b"))
+    return MO.per_page(plain(t), frame, "page_id bigint, l int, t int, r int, b int")
 
 
 # ---- streaming ----------------------------------------------------------------------------------

@@ -5,11 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from pagelattice.operators.pagefold import fold_pages
-
 BOX_SCHEMA = "page_id bigint, l int, t int, r int, b int, conf_m int"
 TEXT_SCHEMA = "page_id bigint, line_id bigint, text string"
 
@@ -40,12 +38,9 @@ def recognize(crops: DataFrame, factory) -> DataFrame:
     return run_model(crops.select("page_id", "line_id", "content"), factory, TEXT_SCHEMA)
 
 
-def per_page(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *, row_id: str, reach: int = 0) -> DataFrame:
-    """Grouped-map escape hatch. A page above the row limit is handed over in blocks of rows that lie
-    more than ``reach`` px apart; ``schema`` starts with ``page_id``."""
+def per_page(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Grouped-map escape hatch: ``fn`` gets each page whole, at any size, and ``schema`` starts with ``page_id``. Memory is bound by
+    the largest page: a Python worker holds the rows of one page at a time, once in Arrow and once in pandas, besides what ``fn``
+    makes of them (two million rows of eight numbers: about 256 MB). What can be cut into blocks belongs in ``pagefold``."""
     names = StructType.fromDDL(schema).fieldNames()
-
-    def apply(rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.groupBy(*keys).applyInPandas(lambda pdf: fn(pdf)[names], schema)
-
-    return fold_pages(df, apply, row_id=row_id, pad=reach)
+    return df.groupBy("page_id").applyInPandas(lambda pdf: fn(pdf)[names], schema)
