@@ -30,6 +30,21 @@ def with_char_width(df: DataFrame, lo: int, hi: int, default: int, keys: Sequenc
     return df.join(unit, list(keys))
 
 
+def with_glyph_widths(boxes: DataFrame) -> DataFrame:
+    """Add ``cw`` and ``cwr``: the upper median width of upright boxes (of all where none is upright), clipped to 16..44, over the
+    page and over the box's ``region_id`` (null outside regions)."""
+    upright = F.when(F.col("b") - F.col("t") >= F.col("r") - F.col("l"), F.col("r") - F.col("l"))
+
+    def unit(df, keys, name):
+        rows = df.select(*keys, upright.alias("_u"), (F.col("r") - F.col("l")).alias("_a"))
+        upper = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)").cast("int")
+        return rows.groupBy(*keys).agg(G.clamp(F.coalesce(upper("_u"), upper("_a")), 16, 44).alias(name))
+
+    page = unit(boxes, ["page_id"], "cw")
+    region = unit(boxes.where("region_id IS NOT NULL"), ["page_id", "region_id"], "cwr")
+    return boxes.join(page, "page_id").join(region, ["page_id", "region_id"], "left")
+
+
 def short_side(a=None) -> Column:
     a = G.rect() if a is None else a
     return F.least(G.width(a), G.height(a))
