@@ -14,7 +14,7 @@ OWN = RUNITS + f""",
 own AS (SELECT x.*, g.region_id, g.l AS gl, g.t AS gt, g.r AS gr, g.b AS gb, {cx('x')} AS cx FROM lines x JOIN regions g ON g.page_id=x.page_id AND {inter('x','g')}>0 WHERE category='BUBBLED'
  QUALIFY row_number() OVER (PARTITION BY x.page_id, x.line_id ORDER BY {inter('x','g')} DESC, g.region_id)=1),
 ow AS (SELECT own.*, lw FROM own JOIN rw USING (page_id, region_id))"""
-FRAG = OWN + ",\nfrag AS (SELECT a.page_id, count(*) AS column_fragmentations FROM ow a JOIN ow b ON a.page_id=b.page_id AND a.region_id=b.region_id AND a.line_id<b.line_id AND abs(a.cx-b.cx)<=0.4*a.lw GROUP BY ALL)"
+FRAG = OWN + ",\nfrag AS (SELECT a.page_id, count(b.line_id) AS column_fragmentations FROM ow a LEFT JOIN ow b ON a.page_id=b.page_id AND a.region_id=b.region_id AND a.line_id<b.line_id AND abs(a.cx-b.cx)<=0.4*a.lw GROUP BY ALL)"
 PITCH = OWN + """,
 seq AS (SELECT *, lag(r) OVER w AS pr, lag(t) OVER w AS pt, lag(b) OVER w AS pb, lag(cx) OVER w AS pcx FROM ow WINDOW w AS (PARTITION BY page_id, region_id ORDER BY cx, line_id)),
 pit AS (SELECT page_id, count(*) FILTER (WHERE least(b,pb)>greatest(t,pt) AND pr IS NOT NULL AND (cx-pcx<0.85*lw OR (pr>l AND cx-pcx<1.15*lw))) AS column_pitch_violations,
@@ -88,7 +88,7 @@ def _(t):
 
 @query("audit_fragmentation", uses="boxes lines regions", also=FRAG, sql="SELECT page_id, column_fragmentations FROM frag")
 def _(t):
-    return A.fragmentation(owned(t)).where("column_fragmentations > 0")
+    return A.fragmentation(owned(t))
 
 
 @query("audit_pitch_gutter", uses="boxes lines regions", also=PITCH, sql="SELECT * FROM pit")

@@ -5,6 +5,8 @@ from checks.c_projections import AUGMENT
 from checks.registry import query
 from pagelattice.operators import annotations as AN, dataset as D, joins as J, ordering as O
 from pagelattice.operators.filters import eval_ready
+from pagelattice.session import scratch_path
+from pagelattice.streaming.annotations import drained_state
 
 
 @query("sample_per_batch", uses="manifest", sql="""
@@ -183,3 +185,26 @@ fin AS (SELECT batch, unnest(names) AS bubble_id, unnest(st) AS s FROM walk WHER
 SELECT batch, bubble_id, s.status AS status, s.conj AS is_conjoined, s.disc AS is_discarded FROM fin WHERE EXISTS (SELECT 1 FROM actions x WHERE x.batch=fin.batch AND x.bubble_id=fin.bubble_id AND x.action<>'undo')""")
 def _(t):
     return AN.annotation_state(t.actions)
+
+
+@query("st_annotation_stream", uses="actions", also=ST, sql="""
+SELECT batch, bubble_id, s.status AS status, s.conj AS is_conjoined, s.disc AS is_discarded FROM fin WHERE EXISTS (SELECT 1 FROM actions x WHERE x.batch=fin.batch AND x.bubble_id=fin.bubble_id AND x.action<>'undo')""")
+def _(t):
+    """The log arrives in four files, a trigger each; state goes on from trigger to trigger."""
+    source = scratch_path(t._spark, "actions")
+    last = t.actions.agg(F.max("seq")).first()[0] or 0
+    for k in range(4):
+        part = t.actions.where((F.col("seq") * 4 >= last * k) & ((F.col("seq") * 4 < last * (k + 1)) | F.lit(k == 3)))
+        part.select("batch", "bubble_id", "seq", "action").coalesce(1).write.mode("append").parquet(source)
+    stream = t._spark.readStream.schema("batch string, bubble_id string, seq bigint, action string").option("maxFilesPerTrigger", 1).parquet(source)
+    return drained_state(stream, scratch_path(t._spark, "states"))
+
+
+@query("sink_labels_files", uses="manifest points", also=JOB, sql=f"""
+SELECT bubble_id, split, 'original' AS variant, {label_sql('is_conjoined','crop_w','crop_h')} AS label FROM parted WHERE split='val' OR (split='train' AND NOT is_conjoined)
+UNION ALL SELECT p.bubble_id, 'train', a.variant, '0 0.500000 0.500000 1.000000 1.000000 '||printf('%.6f %.6f 2 %.6f %.6f 2', greatest(0.0,least(1.0,a.x0/out_w)), greatest(0.0,least(1.0,a.y0/out_h)), greatest(0.0,least(1.0,a.x1/out_w)), greatest(0.0,least(1.0,a.y1/out_h))) FROM augmented a JOIN parted p USING (crop_key)""")
+def _(t):
+    """Written as label files by split and read back."""
+    path = scratch_path(t._spark, "labels")
+    D.write_pose_labels(D.training_labels(D.union_batches(usable(t)), 7, val_pos=30, val_neg=100, ratio=1), path)
+    return D.read_pose_labels(t._spark, path)

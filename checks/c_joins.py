@@ -137,9 +137,9 @@ def _(t):
 
 @query("join_lineage", uses="manifest", sql="""
 SELECT bubble_id, 'cbz_'||lpad(substr(split_part(page_name,'_',1),2),2,'0')||'.cbz' AS archive, coalesce(n_name,'Unknown') AS title
-FROM manifest LEFT JOIN nation ON n_nationkey<12 AND n_nationkey=CAST(substr(split_part(page_name,'_',1),2) AS INT)""")
+FROM manifest LEFT JOIN nation ON n_nationkey=CAST(substr(split_part(page_name,'_',1),2) AS INT)""")
 def _(t):
-    arch = t.nation.where("n_nationkey < 12").select(F.concat(F.lit("cbz_"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(".cbz")).alias("archive"), F.col("n_name").alias("title"))
+    arch = t.nation.select(F.concat(F.lit("cbz_"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"), F.lit(".cbz")).alias("archive"), F.col("n_name").alias("title"))
     return J.lineage(t.manifest.select("bubble_id", "page_name"), arch).select("bubble_id", "archive", "title")
 
 

@@ -46,6 +46,22 @@ def _(t):
         d.where("conf_single_m <> conf_conj_m").select("bubble_id"), "bubble_id", "left_semi").select("batch", "bubble_id", "priority", "timestamp", "notes")))
 
 
+@query("src_annotations_files", uses="manifest points", also="""
+a AS (SELECT batch, bubble_id, CASE WHEN conf_conj_m%2=0 THEN 0 ELSE 1 END AS priority, CAST(conf_conj_m AS VARCHAR) AS "timestamp", 'first' AS notes, x0, y0 FROM manifest JOIN points USING (crop_key)
+ UNION ALL SELECT batch, bubble_id, CASE WHEN conf_single_m%3=0 THEN 0 ELSE 1 END, CAST(conf_single_m AS VARCHAR), 'second', x1, y1 FROM manifest JOIN points USING (crop_key) WHERE conf_single_m<>conf_conj_m)""", sql="""
+SELECT batch, bubble_id, "timestamp", notes, CAST(x0 AS DOUBLE) AS px, CAST(y0 AS DOUBLE) AS py FROM a QUALIFY row_number() OVER (PARTITION BY batch, bubble_id ORDER BY priority, "timestamp" DESC)=1""")
+def _(t):
+    """All annotations written to their folders and read back: the verified one of a crop wins, its points come with it."""
+    d = t.manifest.join(t.points, "crop_key")
+    one = lambda c, m, note, x, y: d.select("batch", "bubble_id", (F.col(c) % m == 0).alias("verified"), F.col(c).cast("string").alias("timestamp"), F.lit(note).alias("notes"),
+                                            F.array(F.struct(F.lit("1").alias("id"), F.array(F.col(x).cast("double"), F.col(y).cast("double")).alias("center"))).alias("crunch_points"), "conf_conj_m", "conf_single_m")
+    both = one("conf_conj_m", 2, "first", "x0", "y0").unionByName(one("conf_single_m", 3, "second", "x1", "y1").where("conf_single_m <> conf_conj_m"))
+    path = scratch_path(t._spark, "annotations")
+    M.write_annotations(both.drop("conf_conj_m", "conf_single_m"), path)
+    center = F.col("crunch_points")[0]["center"]
+    return M.read_annotations(t._spark, path, array_files=False).select("batch", "bubble_id", "timestamp", "notes", center[0].alias("px"), center[1].alias("py"))
+
+
 def docs(t):
     return T.to_page_json(t.boxes, t.regions, t.lines, W, H)
 
@@ -97,6 +113,17 @@ def _(t):
     return AR.archive_entries(d.groupBy("k").applyInPandas(_zip, "path string, content binary"))
 
 
+@query("src_archive_damaged", also="k AS (SELECT DISTINCT doc_id//20 AS k FROM documents)", sql="""
+SELECT CASE WHEN k%3<>0 THEN '/in/downloads/a'||k||'.cbz' ELSE '/in/box'||k||'/a'||k||'.cbz' END AS path, 'BadZipFile' AS damage FROM k WHERE k%4=1""")
+def _(t):
+    """Every fourth archive is cut off in the middle; it is reported and the others are read."""
+    d = t.documents.select("doc_id", "text", F.floor(F.col("doc_id") / 20).alias("k"))
+    files = d.groupBy("k").applyInPandas(_zip, "path string, content binary")
+    cut = F.expr("substring(content, 1, length(content) div 2)")
+    number = F.regexp_extract("path", r"a(\d+)\.cbz$", 1).cast("int")
+    return AR.damaged_archives(files.withColumn("content", F.when(number % 4 == 1, cut).otherwise(F.col("content"))))
+
+
 FILES = ARCHIVES + """,
 listing AS (SELECT '/sdcard/'||path AS path, p_size*20000 AS length FROM archives JOIN part ON p_partkey=file_id UNION ALL SELECT '/sdcard/a/.hid/b/'||p_name||'.zip', 900000 FROM part UNION ALL SELECT '/sdcard/a/b/c/d/'||p_name||'.zip', 900000 FROM part
  UNION ALL SELECT '/sdcard/a/b/'||p_type||'.ZIP', 900000 FROM part)"""
@@ -119,10 +146,10 @@ def _(t):
     return t._spark.read.schema("filename string, title string, series string").json(path)
 
 
-@query("stage_cache", uses="boxes regions", also="big AS (SELECT * FROM boxes WHERE r-l>=20),\n" + assign_sql("big"), sql="SELECT region_id, count(*) AS n FROM assigned GROUP BY region_id")
+@query("stage_cache", uses="boxes regions", also=assign_sql("boxes"), sql="SELECT region_id, count(*) AS n FROM assigned GROUP BY region_id")
 def _(t):
     """First run saves every stage; the second restarts behind the first stage."""
-    stages = [("detect", lambda _: plain(t).where("r - l >= 20")), ("assign", lambda d: J.max_intersection(d, t.regions)),
+    stages = [("detect", lambda _: plain(t)), ("assign", lambda d: J.max_intersection(d, t.regions)),
               ("count", lambda d: d.groupBy("region_id").agg(F.count(F.lit(1)).alias("n")))]
     cache = StageCache(t._spark, scratch_path(t._spark, "stages"), stages)
     cache.run()

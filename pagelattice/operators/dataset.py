@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pagelattice.operators.ordering import corner_order, crop_ids
 from pagelattice.operators.projections import augment_points, canonical_points
@@ -105,6 +105,18 @@ def training_labels(crops: DataFrame, seed: int, **limits) -> DataFrame:
     return to_pose_labels(plain.select(*cols).unionByName(grown.select(*cols)), "out_w", "out_h").select("bubble_id", "split", "variant", "label")
 
 
+def write_pose_labels(labels: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Label files below ``path/split=NAME``: a line per crop and variant of name, tab, label. A split of any size is many files."""
+    line = F.concat_ws("\t", "bubble_id", "variant", "label")
+    labels.select("split", line.alias("value")).write.mode(mode).partitionBy("split").text(path)
+
+
+def read_pose_labels(spark: SparkSession, path: str) -> DataFrame:
+    d = spark.read.schema("value string, split string").text(path)
+    part = F.split("value", "\t")
+    return d.select(part[0].alias("bubble_id"), "split", part[1].alias("variant"), part[2].alias("label"))
+
+
 # ---- status and evaluation --------------------------------------------------------------------
 
 def batch_status(manifest: DataFrame, active: str) -> DataFrame:

@@ -18,15 +18,23 @@ from pagelattice.session import cut_lineage
 TILE = 256
 
 
-def _on_tiles(df: DataFrame, keys: Sequence[str], name: str, pad, tile: int) -> DataFrame:
+#: Added to the tile column of a row that stands for itself; no rectangle lies there.
+APART = 1 << 24
+
+
+def _on_tiles(df: DataFrame, keys: Sequence[str], name: str, pad, tile: int, itself: bool = False) -> DataFrame:
     """One row per tile the rectangle covers once grown by ``pad``; corners kept beside the row. A row with a null side
-    stands in no tile but stays, for left joins."""
+    stands in no tile but stays, for left joins. With ``itself`` each row also has one beside all tiles, which meets nothing."""
     grow = pad if isinstance(pad, Column) else F.lit(pad)
     ends = {"l": F.col("l") - grow, "t": F.col("t") - grow,
             "r": F.greatest("l", "r") + grow, "b": F.greatest("t", "b") + grow}
-    tiles = lambda lo, hi: F.explode_outer(F.sequence(floor_div(ends[lo], tile), floor_div(ends[hi], tile)))
+    first = {s: floor_div(ends[s], tile) for s in ends}
+    across, down = F.sequence(first["l"], first["r"]), F.sequence(first["t"], first["b"])
+    if itself:
+        across = F.concat(across, F.array(first["l"] + APART))
+        down = F.when(F.col("_tx") >= APART // 2, F.array(first["t"])).otherwise(down)
     return (
-        df.select("*", tiles("l", "r").alias("_tx")).select("*", tiles("t", "b").alias("_ty"))
+        df.select("*", F.explode_outer(across).alias("_tx")).select("*", F.explode_outer(down).alias("_ty"))
         .select(*[F.col(k).alias(f"_{name}_{k}") for k in keys],
                 F.col("_tx").alias(f"_{name}_tx"), F.col("_ty").alias(f"_{name}_ty"),
                 *[e.alias(f"_{name}_{s}") for s, e in ends.items()], F.struct(*df.columns).alias(name))
@@ -42,7 +50,11 @@ def near_pairs(left: DataFrame, right: DataFrame, on: Callable[[Column, Column],
     With ``how="left"`` a left row shows up at least once, with null ``b`` in every tile
     that gave no match: fold it with an aggregate that skips nulls.
     """
-    lt, rt = _on_tiles(left, keys, "a", pad, tile), _on_tiles(right, keys, "b", pad_right, tile)
+    return _joined(left, right, on, keys, pad, pad_right, how, tile).select(*[F.col(f"_a_{k}").alias(k) for k in keys], "a", "b")
+
+
+def _joined(left, right, on, keys, pad, pad_right=0, how="inner", tile=TILE, itself=False) -> DataFrame:
+    lt, rt = _on_tiles(left, keys, "a", pad, tile, itself), _on_tiles(right, keys, "b", pad_right, tile)
     first_x, first_y = F.greatest("_a_l", "_b_l"), F.greatest("_a_t", "_b_t")
     cond = on(F.col("a"), F.col("b"))
     cond = cond & (F.col("_a_tx") == F.col("_b_tx")) & (F.col("_a_ty") == F.col("_b_ty"))
@@ -50,28 +62,41 @@ def near_pairs(left: DataFrame, right: DataFrame, on: Callable[[Column, Column],
         cond = cond & (F.col(f"_a_{k}") == F.col(f"_b_{k}"))
     cond = (cond & (floor_div(first_x, tile) == F.col("_a_tx")) & (floor_div(first_y, tile) == F.col("_a_ty"))
             & (first_x <= F.least("_a_r", "_b_r")) & (first_y <= F.least("_a_b", "_b_b")))
-    return lt.join(rt, cond, how).select(*[F.col(f"_a_{k}").alias(k) for k in keys], "a", "b")
+    return lt.join(rt, cond, how)
+
+
+def _matches(left: DataFrame, right: DataFrame, on, keys, pad) -> DataFrame:
+    """``a``, ``b`` and ``_self``: the pairs, and each left row once by itself. Grouped by ``a``, the rows by themselves count how
+    often a row is there, so equal rows need no number of their own and a repeated task changes nothing."""
+    pairs = _joined(left, right, on, keys, pad, how="left", itself=True)
+    alone = F.coalesce(F.col("_a_tx") >= APART // 2, F.lit(True))
+    return pairs.select("a", "b", alone.alias("_self")).where(F.col("_self") | F.col("b").isNotNull())
+
+
+def _repeated(grouped: DataFrame, names: Sequence[str], *more: Column) -> DataFrame:
+    """The columns of ``a`` and ``more``, as often as ``_times`` says."""
+    return grouped.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*[F.col("a")[c].alias(c) for c in names], *more)
 
 
 def best_match(left: DataFrame, right: DataFrame, on, *, rank, pick: dict[str, str],
                keys: Sequence[str] = ("page_id",), pad: int | Column = 0) -> DataFrame:
     """Every left row with columns ``pick`` (new name -> right column) of its best right
     row, the one with the least ``rank(a, b)``; null where nothing matches. Equal left rows and rows with a null side stay."""
-    pairs = near_pairs(left.withColumn("_row", F.monotonically_increasing_id()), right, on, keys=keys, pad=pad, how="left")
+    pairs = _matches(left, right, on, keys, pad)
     a, b = F.col("a"), F.col("b")
     candidate = F.when(b.isNotNull(), F.struct(
         *[c.alias(f"k{i}") for i, c in enumerate(rank(a, b))],
         *[b[src].alias(f"p{i}") for i, src in enumerate(pick.values())]))
-    best = pairs.groupBy("a").agg(F.min(candidate).alias("m"))
-    return best.select(*[F.col("a")[c].alias(c) for c in left.columns], *[F.col(f"m.p{i}").alias(new) for i, new in enumerate(pick)])
+    best = pairs.groupBy("a").agg(F.min(candidate).alias("m"), F.count_if("_self").alias("_times"))
+    return _repeated(best, left.columns, *[F.col(f"m.p{i}").alias(new) for i, new in enumerate(pick)])
 
 
 def with_match_flag(left: DataFrame, right: DataFrame, on, *, name: str = "matched",
                     keys: Sequence[str] = ("page_id",), pad: int | Column = 0) -> DataFrame:
     """Every left row plus a boolean: does any right row satisfy ``on``? Equal left rows and rows with a null side stay."""
-    pairs = near_pairs(left.withColumn("_row", F.monotonically_increasing_id()), right, on, keys=keys, pad=pad, how="left")
-    return (pairs.groupBy("a").agg(F.max(F.col("b").isNotNull()).alias("_m"))
-            .select(*[F.col("a")[c].alias(c) for c in left.columns], F.col("_m").alias(name)))
+    pairs = _matches(left, right, on, keys, pad)
+    flagged = pairs.groupBy("a").agg(F.max(F.col("b").isNotNull()).alias("_m"), F.count_if("_self").alias("_times"))
+    return _repeated(flagged, left.columns, F.col("_m").alias(name))
 
 
 def keep_matched(left, right, on, **kw) -> DataFrame:

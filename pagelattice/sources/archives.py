@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,29 +17,48 @@ from pagelattice.operators.ranking import ranked, top_per_key
 IMAGES = (".jpg", ".jpeg", ".png", ".webp", ".gif", ".avif")
 
 
-def _list(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: The entry that may name the series, and how it does. Fixed values.
+TAG_FILE, TAG = "comicinfo.xml", r"(?s)<Series>(.*?)</Series>"
+
+
+def _directory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The directory of each archive as it stands, with the text of its tag file; an archive that can't be read gives one row."""
     for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                series, names = None, []
-                for e in z.infolist():
-                    low = e.filename.lower()
-                    if e.is_dir() or "__macosx" in low or low.startswith("."):
-                        continue
-                    if low.endswith(IMAGES):
-                        names.append((e.filename, e.file_size))
-                    elif low.endswith("comicinfo.xml"):
-                        m = re.search(r"<Series>(.*?)</Series>", z.read(e).decode("utf-8", "replace"), re.S)
-                        series = m.group(1).strip() or series if m else series
-            rows += [(path, series, n, s) for n, s in names]
-        yield pd.DataFrame(rows, columns=["path", "series", "entry", "size"])
+        for path, content in zip(pdf["path"], pdf["content"], strict=True):
+            rows = []
+            try:
+                with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+                    for at, e in enumerate(z.infolist()):
+                        tag = z.read(e).decode("utf-8", "replace") if e.filename.lower().endswith(TAG_FILE) else None
+                        rows.append((path, at, e.filename, e.file_size, tag, None))
+            except (zipfile.BadZipFile, zlib.error, OSError, EOFError, NotImplementedError, RuntimeError) as damage:
+                rows = [(path, None, None, None, None, type(damage).__name__)]
+            yield pd.DataFrame(rows, columns=["path", "at", "entry", "size", "tag", "damage"]).astype({"at": "Int64", "size": "Int64"})
+
+
+def archive_directory(files: DataFrame) -> DataFrame:
+    """``path, at, entry, size, tag, damage`` of zip archives (``path``, ``content``): every entry in the archive's order; ``damage`` is set
+    in the only row of an archive that can't be read."""
+    return files.select("path", "content").mapInPandas(_directory, "path string, at bigint, entry string, size bigint, tag string, damage string")
+
+
+def damaged_archives(files: DataFrame) -> DataFrame:
+    return archive_directory(files).where("damage IS NOT NULL").select("path", "damage")
 
 
 def archive_entries(files: DataFrame) -> DataFrame:
-    """Page entries of zip archives (``path``, ``content``) in natural order with the series title:
-    the XML tag, else the parent folder, else the file's own name."""
-    d = files.select("path", "content").mapInPandas(_list, "path string, series string, entry string, size bigint")
+    """Page entries of zip archives (``path``, ``content``) in natural order with the series title: the XML tag (the last one, where there
+    are several), else the parent folder, else the file's own name. Folders, system and hidden entries and other files are
+    left out; a damaged archive has no entries, see :func:`damaged_archives`."""
+    low = F.lower("entry")
+    page = low.rlike(r"\.(?:" + "|".join(x[1:] for x in IMAGES) + ")$")
+    seen = ~low.endswith("/") & ~low.contains("__macosx") & ~low.startswith(".")
+    series = F.regexp_extract("tag", TAG, 1)
+    named = F.when(F.trim(series) != "", F.trim(series))
+    d = archive_directory(files).where("damage IS NULL").where(seen).withColumn("_series", named)
+    last = F.max_by("_series", F.when(F.col("_series").isNotNull(), F.col("at")))
+    titles = d.where("tag IS NOT NULL").groupBy("path").agg(last.alias("series"))
+    d = d.where(page).select("path", "entry", "size").join(titles, "path", "left")
     parts = F.split("path", "/")
     folder = F.coalesce(F.try_element_at(parts, F.lit(-2)), F.lit(""))
     stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
@@ -68,5 +88,6 @@ def archive_listing(files: DataFrame, root_depth: int, min_bytes: int = 500 * 10
 def scan_archives(spark: SparkSession, root: str) -> DataFrame:
     """Recursive listing below ``root``, by title. Contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    full = F.regexp_replace("path", "^file:", "")
-    return archive_listing(files.withColumn("path", full), len(root.rstrip("/").split("/"))).orderBy("title", "path")
+    bare = lambda p: F.regexp_replace(p, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")  # without scheme and host, as the root may be given
+    depth = len(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/").split("/"))
+    return archive_listing(files.withColumn("path", bare("path")), depth).orderBy("title", "path")

@@ -43,16 +43,24 @@ def prefer_verified(annotations: DataFrame) -> DataFrame:
     return top_per_key(annotations, ["batch", "bubble_id"], [F.col("priority"), F.col("timestamp").desc_nulls_last()], 1).drop("rn", "priority")
 
 
-def read_annotations(spark: SparkSession, root: str) -> DataFrame:
-    """One document per crop below ``root/<batch>/``; ``verified_annotated`` wins over ``annotations``."""
-    raw = (spark.read.schema(ANNOTATION).option("multiLine", True).option("recursiveFileLookup", True)
+def read_annotations(spark: SparkSession, root: str, array_files: bool = True) -> DataFrame:
+    """One document per crop below ``root/<batch>/``; ``verified_annotated`` wins over ``annotations``. Line-delimited files, as
+    :func:`write_annotations` makes them, split over tasks with ``array_files=False``. Folders may be named ``column=NAME``."""
+    raw = (spark.read.schema(ANNOTATION).option("multiLine", array_files).option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.json").json(root))
     parts = F.split(F.col("_metadata.file_path"), "/")
-    folder = F.element_at(parts, -2)
-    d = raw.withColumns({"batch": F.coalesce("batch", F.element_at(parts, -3)), "priority": F.when(folder == "verified_annotated", 0).otherwise(1)})
+    name = lambda at: F.regexp_replace(F.element_at(parts, at), "^[a-z]+=", "")
+    folder = name(-2)
+    d = raw.withColumns({"batch": F.coalesce("batch", name(-3)), "priority": F.when(folder == "verified_annotated", 0).otherwise(1)})
     return prefer_verified(d.where(folder.isin("verified_annotated", "annotations")))
 
 
+def write_annotations(annotations: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Annotations with ``batch`` and ``verified`` below ``root``, verified ones apart."""
+    folder = F.when(F.col("verified"), "verified_annotated").otherwise("annotations")
+    annotations.withColumn("folder", folder).drop("verified").write.mode(mode).partitionBy("batch", "folder").json(root)
+
+
 def build_index(staged: DataFrame) -> DataFrame:
     """Index rows of staged pages: file name with batch prefix, title, series."""
     return staged.select(F.col("staged").alias("filename"), "title", F.col("title").alias("series"))
