@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 
-from checks.c_grouping import (CENTERED, FREE, OWNED, FRAG_V, MINH, MW, AW, AH, OX, OY, OUTSIDE, PROX, chain_sql, closure_sql, fold_union_sql,
+from checks.c_grouping import (BAR, CENTERED, FREE, HH, OWNED, FRAG_V, MINH, MW, AW, AH, OX, OY, OUTSIDE, PROX, chain_sql, closure_sql, fold_union_sql,
                                keep_first_sql, ruby_gap_sql, smear_sql, width_sql, _side)
 from checks.c_joins import assign_sql, plain
 from checks.c_projections import CUTS, H, W, _side as cut_side, cuts
+from checks.c_rounds import rounds_sql, trim_sql
 from checks.registry import query
 from checks.sqlgeo import *
 from pagelattice.operators import grouping as GR
@@ -101,11 +102,33 @@ def _(t):
     return L.layout_counts(t.boxes, t.regions, t.zones)
 
 
-@query("job_layout_groups")
+#: The job's lines, then its groups; helper tables of the groups get names of their own.
+LAYOUT = JOB + f""",
+lay_b AS (SELECT page_id, region_id, box_id, l,t,r,b FROM assigned WHERE region_id IS NOT NULL UNION ALL SELECT page_id, -1-cluster_id, box_id, l,t,r,b FROM comp JOIN outb USING (page_id, box_id)),
+lay_f AS (SELECT page_id, region_id, l, r FROM fr UNION ALL SELECT page_id, -1-cluster_id, min(l), max(r) FROM comp JOIN outb USING (page_id, box_id) GROUP BY page_id, cluster_id),
+fb AS (SELECT a.*, f.l AS gl, f.r AS gr FROM lay_b a JOIN lay_f f USING (page_id, region_id)),""" + smear_sql("fb") + "," + chain_sql("pieces") + "," + SEAM + f""",
+llines AS (SELECT s.page_id, row_number() OVER (PARTITION BY s.page_id ORDER BY {cy('s')}//200, -{cx('s')}, s.t, s.region_id, s.l, s.r) AS line_id, coalesce(k.category,'BUBBLED') AS category, s.l, s.t, s.r, s.b
+ FROM seamed s LEFT JOIN kinds k ON k.page_id=s.page_id AND k.cluster_id=-1-s.region_id),
+""" + pre(GROUPS[:GROUPS.index("cand AS")] + GROUPS[GROUPS.index("cand AS"):].replace("FROM lines", "FROM llines").replace("FROM regions g", "FROM fr g").replace("JOIN regions g", "JOIN fr g"),
+          "g_", "cand lob used regular free bst inn rest mw sized edges reach comp every gb0 gb1 grouped")
+
+
+@query("job_layout_groups", uses="boxes regions zones lines", also=LAYOUT, sql="SELECT page_id, group_no, kind<3 AS is_bubble, l AS ul, t AS ut, r AS ur, b AS ub, n_lines FROM g_grouped")
 def _(t):
     return L.group_table(L.layout_groups(t.boxes, t.regions, t.zones, some_cuts(t)))
 
 
+@query("job_layout_text", uses="boxes regions zones lines", also=LAYOUT + f""",
+lg AS (SELECT e.page_id, e.line_id, e.l, e.t, e.r, e.b, g.group_no, row_number() OVER (PARTITION BY e.page_id, e.kind, e.unit ORDER BY -{cx('e')}, e.t, e.line_id) AS line_order
+ FROM g_every e JOIN g_grouped g ON g.page_id=e.page_id AND g.kind=e.kind AND g.unit=e.unit),
+bt AS (SELECT x.page_id, x.box_id, x.t, 'n' || x.conf_m AS text, (SELECT min(y.line_id) FROM lg y WHERE y.page_id=x.page_id AND {holds('y', 'x')}) AS line_id FROM boxes x),
+lt AS (SELECT page_id, line_id, string_agg(text, ' ' ORDER BY t, box_id) AS text FROM bt WHERE line_id IS NOT NULL GROUP BY ALL),
+gt AS (SELECT page_id, group_no, string_agg(lt.text, ' ' ORDER BY line_order) AS text FROM lg JOIN lt USING (page_id, line_id) GROUP BY ALL)""", sql="""
+SELECT g.page_id, g.group_no, kind<3 AS is_bubble, l AS ul, t AS ut, r AS ur, b AS ub, n_lines, coalesce(text, '') AS text FROM g_grouped g LEFT JOIN gt USING (page_id, group_no)""")
+def _(t):
+    return L.layout_text(t.boxes.withColumn("text", F.concat(F.lit("n"), F.col("conf_m"))), t.regions, t.zones, some_cuts(t))
+
+
 BOXU = "SELECT page_id, {u} AS unit_id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n FROM {src} GROUP BY page_id, {u}"
 TIERS = f"""best AS (SELECT a.*, g.region_id AS own, {inter('a','g')} AS i, {area('a')} AS ba,
  greatest(least(a.r,least(512,g.r+8))-greatest(a.l,greatest(0,g.l-8)),0)*greatest(least(a.b,least(800,g.b+8))-greatest(a.t,greatest(0,g.t-8)),0) AS gi,
@@ -114,7 +137,67 @@ tier AS (SELECT *, CASE WHEN i*100>=70*ba THEN 'strong' WHEN i*100>=35*ba THEN C
 near AS (SELECT x.page_id, x.box_id, arg_min(g.region_id, (({cx('x')}-{cx('g')})*({cx('x')}-{cx('g')})+({cy('x')}-{cy('g')})*({cy('x')}-{cy('g')}))*CAST(1000000000 AS BIGINT)+g.region_id) AS nid FROM tier x JOIN regions g USING (page_id) WHERE x.tier='nearest' GROUP BY ALL),
 tiered AS (SELECT t.page_id, t.box_id, t.l,t.t,t.r,t.b, CASE tier WHEN 'nearest' THEN nid ELSE own END AS region_id FROM tier t LEFT JOIN near n ON n.page_id=t.page_id AND n.box_id=t.box_id WHERE tier IS NOT NULL)"""
 
+STRICT = f"{dcx('a','b')}<0.45*{MW} AND ({OX}>0.35*{MW} OR {dcx('a','b')}<0.3*{MW}) AND {gy('a','b')}<greatest(1.1*{AH},1.8*{AW})"
+STRICT_LINES = pre(closure_sql("boxes", "box_id", STRICT), "st_", "edges reach comp") + ",\nslines AS (SELECT page_id, cluster_id AS box_id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b FROM st_comp JOIN boxes USING (page_id, box_id) GROUP BY page_id, cluster_id)"
+#: Lines in reading order, under the names that boxes have.
+READ = pre(EXTRACT, "ex_", "edges reach comp") + f""",
+rl AS (SELECT page_id, CASE WHEN region_id>=0 THEN 'BUBBLED' ELSE 'ORPHAN' END AS category, l, t, r, b, row_number() OVER (PARTITION BY page_id ORDER BY {cy('s')}//200, -{cx('s')}, t, region_id, l, r) AS box_id FROM seamed s)"""
+
+
+def outside_sql(src, out="ou"):
+    """Units of outside lines in ``src``; ids are those of their clusters."""
+    return pre("lin AS (SELECT *, box_id AS line_id FROM " + src + "),\n" + width_sql("lin", 10, 100000) + ",\nsized AS (SELECT * FROM lin JOIN units USING (page_id)),\n" + closure_sql("sized", "line_id", OUTSIDE), "o_", "lin units sized edges reach comp") + f""",
+{out} AS (SELECT page_id, cluster_id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n FROM o_comp JOIN o_lin USING (page_id, line_id) GROUP BY page_id, cluster_id)"""
+
+
+LOBE = f"{gx('a','b')}<=1.4*{AW} AND {OY}>0 AND {OY}>=0.35*{MINH} AND NOT ((abs(a.t-b.t)>0.7*{MINH} AND abs(a.b-b.b)>0.7*{MINH}) OR {OY}<0.3*{MINH})"
+PRESET_4 = READ + f""",
+lo AS (SELECT * FROM (SELECT x.page_id, x.box_id AS line_id, x.l, x.t, x.r, x.b, (SELECT min(g.region_id) FROM regions g WHERE g.page_id=x.page_id AND {holds('g','x')}) AS region_id FROM rl x WHERE category='BUBBLED') WHERE region_id IS NOT NULL),
+""" + pre(closure_sql("lo", "line_id", LOBE, ("page_id", "region_id")), "lo_", "edges reach comp") + """,
+sf AS (SELECT * FROM rl WHERE category='ORPHAN'),
+""" + outside_sql("sf")
+PRESET_5 = f"""held AS (SELECT g.page_id, g.region_id, x.box_id AS line_id, {cy('x')} AS cy, x.t, x.b FROM regions g JOIN boxes x ON x.page_id=g.page_id AND {holds('g','x')} WHERE (g.b-g.t)>1.35*(g.r-g.l)),
+nxt AS (SELECT *, lag(t) OVER w AS pt, lag(b) OVER w AS pb FROM held WINDOW w AS (PARTITION BY page_id, region_id ORDER BY cy, line_id)),
+cut AS (SELECT page_id, region_id, (pb+t)//2 AS y FROM nxt WHERE t-pb>0 AND t-pb>0.4*((b-t)+(pb-pt))/2 QUALIFY row_number() OVER (PARTITION BY page_id, region_id ORDER BY t-pb DESC, cy, line_id)=1),
+j AS (SELECT g.*, CASE WHEN y>=t+20 AND y<b-20 THEN y END AS y FROM regions g LEFT JOIN cut USING (page_id, region_id)),
+parts AS (SELECT page_id, region_id*3 AS region_id, l, t, r, b FROM j WHERE y IS NULL UNION ALL SELECT page_id, region_id*3+1, l, t, r, y FROM j WHERE y IS NOT NULL UNION ALL SELECT page_id, region_id*3+2, l, y, r, b FROM j WHERE y IS NOT NULL),
+pl AS (SELECT x.*, (SELECT min(g.region_id) FROM parts g WHERE g.page_id=x.page_id AND {holds('g','x')}) AS region_id FROM boxes x),
+outb AS (SELECT * FROM pl WHERE region_id IS NULL),
+""" + width_sql("outb", 16, 50, "least(r-l,b-t)") + ",\nsized AS (SELECT * FROM outb JOIN units USING (page_id)),\n" + closure_sql("sized", "box_id", PROX)
+UNITS_OUT = f"greatest(a.b-a.t,b.b-b.t)<=1.6*{HH} AND (({gx('a','b')}<0.85*{AW} AND {OY}>0.4*{HH}) OR ({gx('a','b')}<0.25*{AW} AND {gy('a','b')}<0.65*{AH})) AND {BAR}"
+PRESET_3 = OWNED + """,
+outb AS (SELECT * FROM owned WHERE region_id<0),
+""" + closure_sql("outb", "box_id", UNITS_OUT) + """,
+un AS (SELECT page_id, region_id AS unit_id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n FROM owned WHERE region_id>=0 GROUP BY page_id, region_id
+ UNION ALL SELECT * FROM (SELECT page_id, -1-cluster_id, greatest(min(l)-6,0) AS l, greatest(min(t)-6,0) AS t, least(max(r)+6,512) AS r, least(max(b)+6,800) AS b, count(*) AS n FROM comp JOIN boxes USING (page_id, box_id) GROUP BY page_id, cluster_id) WHERE r-l>=10 AND b-t>=10),
+""" + rounds_sql("un", "unit_id", "l, t, r, b, n", f"{inter('a','b')}>0 AND {inter('a','b')}*100>12*{min_area('a','b')}", [f"-{inter('a','b')}"], "min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, CAST(sum(n) AS BIGINT) AS n") + ",\n" + trim_sql("fin", "unit_id", ", n")
+TIERED = TIERS.replace("FROM boxes", "FROM rl")
+ALIKE = f"{inter('a','b')}>0 AND ({inter('a','b')}*100>45*({area('a')}+{area('b')}-{inter('a','b')}) OR {inter('a','b')}*100>85*{min_area('a','b')})"
+
+
+def alike_sql(inner):
+    """Lines by tiers as units ``inner``, the others in clusters, joined where they are alike."""
+    return READ + ",\n" + TIERED + inner + """,
+sf AS (SELECT * FROM rl ANTI JOIN tiered USING (page_id, box_id)),
+""" + outside_sql("sf") + """,
+un AS (SELECT page_id, unit AS unit_id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n FROM put GROUP BY page_id, unit UNION ALL SELECT page_id, -1-cluster_id, l, t, r, b, n FROM ou),
+""" + rounds_sql("un", "unit_id", "l, t, r, b, n", ALIKE, [f"-{inter('a','b')}"], "min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, CAST(sum(n) AS BIGINT) AS n")
+
+
+ENDS = "SELECT page_id, unit_id, l, t, r, b, n FROM fin"
+
 PRESET_SQL = {
+    0: dict(uses="boxes regions", also=STRICT_LINES + ",\n" + OWNED.replace("FROM boxes x", "FROM slines x") + ",\n" + closure_sql("owned", "box_id", f"{FREE} AND ({FRAG_V} OR {cont_over('a','b',20)})") + ",\nub AS (SELECT * FROM comp JOIN slines USING (page_id, box_id))",
+            sql=BOXU.format(u="cluster_id", src="ub")),
+    3: dict(uses="boxes regions zones", also=PRESET_3, sql="SELECT page_id, unit_id, CAST(l AS INT) AS l, CAST(t AS INT) AS t, CAST(r AS INT) AS r, CAST(b AS INT) AS b, n FROM z WHERE r-l>=10 AND b-t>=10"),
+    4: dict(uses="boxes regions", also=PRESET_4, sql="""
+SELECT page_id, cluster_id AS unit_id, greatest(min(l)-8,0) AS l, greatest(min(t)-8,0) AS t, least(max(r)+8,512) AS r, least(max(b)+8,800) AS b, count(*) AS n FROM lo_comp JOIN lo USING (page_id, region_id, line_id) GROUP BY page_id, region_id, cluster_id
+UNION ALL SELECT page_id, cluster_id, l, t, r, b, n FROM ou"""),
+    5: dict(uses="boxes regions", also=PRESET_5, sql="""
+SELECT page_id, region_id AS unit_id, min(l) AS l, min(t) AS t, max(r) AS r, max(b) AS b, count(*) AS n FROM pl WHERE region_id IS NOT NULL GROUP BY page_id, region_id
+UNION ALL SELECT page_id, -1-cluster_id, min(l), min(t), max(r), max(b), count(*) FROM comp JOIN outb USING (page_id, box_id) GROUP BY page_id, cluster_id"""),
+    7: dict(uses="boxes regions", also=alike_sql(",\nput AS (SELECT *, region_id AS unit FROM tiered)"), sql=ENDS),
+    9: dict(uses="boxes regions", also=CUTS + ",\n" + alike_sql(f",\nput AS (SELECT x.*, x.region_id*2+CASE WHEN {holds('c','x')} AND {cut_side(cx('x'), cy('x'))}<0 THEN 1 ELSE 0 END AS unit FROM tiered x JOIN cuts c ON c.page_id=x.page_id AND c.region_id=x.region_id)"), sql=ENDS),
     1: dict(uses="boxes regions", also=OWNED + ",\n" + closure_sql("owned", "box_id", f"a.region_id=b.region_id AND ({FRAG_V} OR {cont_over('a','b',20)})") + ",\nub AS (SELECT * FROM comp JOIN boxes USING (page_id, box_id))", sql=BOXU.format(u="cluster_id", src="ub")),
     2: dict(uses="boxes regions", also=CENTERED + ",\n" + closure_sql("owned", "box_id", f"{FREE} AND ({dcx('a','b')}<0.55*{MW} OR {OX}>0.3*{MW}) AND {gy('a','b')}<=2.5*{AH}") + ",\nub AS (SELECT * FROM comp JOIN boxes USING (page_id, box_id))", sql=BOXU.format(u="cluster_id", src="ub")),
     6: dict(uses="boxes regions", also=TIERS, sql=BOXU.format(u="region_id", src="tiered")),
@@ -125,7 +208,7 @@ PRESET_SQL = {
 def _preset(m):
     @query(f"method_presets_{m}", **PRESET_SQL.get(m, {}))
     def _(t):
-        return L.layout(plain(t), t.regions, m, cuts=cuts(t))
+        return L.layout(plain(t), t.regions, m, cuts=cuts(t), gutters=t.zones.select("page_id", F.col("l").alias("gutter_x"), F.col("t").alias("gutter_y")))
 
 
 for _m in L.PRESETS:

@@ -82,17 +82,21 @@ def _reach(name, percent):
 _reach("grp_reach_seeded", 250)
 _reach("grp_reach_seeded_150", 150)
 
+def trim_sql(src, row_id, more=""):
+    return f"""q AS (SELECT a.page_id, a.{row_id} AS u, b.{row_id} AS v, abs({cy('b')}-{cy('a')})>=abs({cx('b')}-{cx('a')}) AS stacked, {cy('b')}>={cy('a')} AS below, {cx('b')}>={cx('a')} AS right_of,
+ (greatest(a.t,b.t)+least(a.b,b.b))//2 AS y, (greatest(a.l,b.l)+least(a.r,b.r))//2 AS x FROM {src} a JOIN {src} b ON a.page_id=b.page_id AND a.{row_id}<b.{row_id} AND {inter('a', 'b')}>0),
+c AS (SELECT page_id, u AS {row_id}, CASE WHEN stacked AND below THEN y END AS cb, CASE WHEN stacked AND NOT below THEN y END AS ct, CASE WHEN NOT stacked AND right_of THEN x END AS cr, CASE WHEN NOT stacked AND NOT right_of THEN x END AS cl FROM q
+ UNION ALL SELECT page_id, v, CASE WHEN stacked AND NOT below THEN y END, CASE WHEN stacked AND below THEN y END, CASE WHEN NOT stacked AND NOT right_of THEN x END, CASE WHEN NOT stacked AND right_of THEN x END FROM q),
+s AS (SELECT page_id, {row_id}, min(cb) AS cb, max(ct) AS ct, min(cr) AS cr, max(cl) AS cl FROM c GROUP BY ALL),
+z AS (SELECT page_id, {row_id}{more}, greatest(0,least(512,greatest(l,cl))) AS l, greatest(0,least(800,greatest(t,ct))) AS t, greatest(0,least(512,least(r,cr))) AS r, greatest(0,least(800,least(b,cb))) AS b FROM {src} LEFT JOIN s USING (page_id, {row_id}))"""
+
+
 TRIM = f"""o AS (SELECT page_id, list({{'id':box_id,'l':l,'t':t,'r':r,'b':b}} ORDER BY box_id) AS xs FROM boxes GROUP BY page_id),
 walk AS (SELECT page_id, 0 AS i, xs, true AS more FROM o UNION ALL
  SELECT page_id, i+1, CASE WHEN p IS NULL THEN xs ELSE list_transform(list_filter(xs, lambda k, j: j<>p[2]), lambda k, j: CASE WHEN j=p[1] THEN {{'id':k.id,'l':least(k.l,xs[p[2]].l),'t':least(k.t,xs[p[2]].t),'r':greatest(k.r,xs[p[2]].r),'b':greatest(k.b,xs[p[2]].b)}} ELSE k END) END, p IS NOT NULL
  FROM (SELECT *, list_filter(flatten(list_transform(range(1,len(xs)+1), lambda m: list_transform(range(m+1,len(xs)+1), lambda n: CASE WHEN {cont_over('xs[m]', 'xs[n]', 12)} AND {inter('xs[m]', 'xs[n]')}>0 THEN [m,n] END))), lambda q: q IS NOT NULL)[1] AS p FROM walk WHERE more)),
 u AS (SELECT page_id, k.id AS box_id, k.l AS l, k.t AS t, k.r AS r, k.b AS b FROM (SELECT page_id, unnest(arg_max(xs, i)) AS k FROM walk GROUP BY page_id)),
-q AS (SELECT a.page_id, a.box_id AS u, b.box_id AS v, abs({cy('b')}-{cy('a')})>=abs({cx('b')}-{cx('a')}) AS stacked, {cy('b')}>={cy('a')} AS below, {cx('b')}>={cx('a')} AS right_of,
- (greatest(a.t,b.t)+least(a.b,b.b))//2 AS y, (greatest(a.l,b.l)+least(a.r,b.r))//2 AS x FROM u a JOIN u b ON a.page_id=b.page_id AND a.box_id<b.box_id AND {inter('a', 'b')}>0),
-c AS (SELECT page_id, u AS box_id, CASE WHEN stacked AND below THEN y END AS cb, CASE WHEN stacked AND NOT below THEN y END AS ct, CASE WHEN NOT stacked AND right_of THEN x END AS cr, CASE WHEN NOT stacked AND NOT right_of THEN x END AS cl FROM q
- UNION ALL SELECT page_id, v, CASE WHEN stacked AND NOT below THEN y END, CASE WHEN stacked AND below THEN y END, CASE WHEN NOT stacked AND NOT right_of THEN x END, CASE WHEN NOT stacked AND right_of THEN x END FROM q),
-s AS (SELECT page_id, box_id, min(cb) AS cb, max(ct) AS ct, min(cr) AS cr, max(cl) AS cl FROM c GROUP BY ALL),
-z AS (SELECT page_id, box_id, greatest(0,least(512,greatest(l,cl))) AS l, greatest(0,least(800,greatest(t,ct))) AS t, greatest(0,least(512,least(r,cr))) AS r, greatest(0,least(800,least(b,cb))) AS b FROM u LEFT JOIN s USING (page_id, box_id))"""
+""" + trim_sql("u", "box_id")
 
 
 @query("grp_edge_trim", uses="boxes", also=TRIM, sql="SELECT page_id, box_id, CAST(l AS INT) AS l, CAST(t AS INT) AS t, CAST(r AS INT) AS r, CAST(b AS INT) AS b FROM z WHERE r-l>=10 AND b-t>=10")

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.c_joins import LISTING, assign_sql, have, listing, plain
-from checks.c_projections import H, W
+from checks.c_projections import CUTS, H, W, cuts
 from checks.c_text import ARCHIVES, archives
 from checks.registry import query
 from checks.sqlgeo import *
@@ -74,6 +74,52 @@ def _(t):
     return one("boxes", "id").unionByName(one("regions", "index")).unionByName(one("lines", "id"))
 
 
+def full_docs(t):
+    """Documents of all stages: partitions are the cut regions, groups the regions with the lines they hold first."""
+    groups = t.regions.select("page_id", F.col("region_id").alias("group_id"), "region_id", (F.col("region_id") % 2 == 0).alias("is_bubble"), F.lit("BUBBLED").alias("category"), *"ltrb",
+                              F.concat(F.lit("g"), "region_id").alias("text"))
+    said = groups.withColumn("translated", F.concat(F.lit("T"), "group_id"))
+    held = J.center_first(t.lines.select("page_id", "line_id", *"ltrb"), t.regions).where("region_id >= 0")
+    held = held.select("page_id", F.col("region_id").alias("group_id"), "line_id", (F.col("line_id") % 7).alias("reading_order"), *"ltrb", F.concat(F.lit("x"), "line_id").alias("text"))
+    parts = cuts(t).select("page_id", "region_id", *"ltrb", (F.col("region_id") % 3 == 0).alias("is_conjoined"), (F.col("region_id") % 1000 / 1000.0).alias("conf_conj"),
+                           F.col("p1x").alias("p1x_raw"), F.col("p1y").alias("p1y_raw"), F.col("p2x").alias("p2x_raw"), F.col("p2y").alias("p2y_raw"), (F.col("p1x") + 1).alias("p1x"), "p1y",
+                           F.when(F.col("region_id") % 5 > 0, F.col("p2x")).alias("p2x"), F.col("p2y"), F.array(F.struct(F.col("l").alias("x"), F.col("t").alias("y"))).alias("notches"),
+                           F.array(F.col("region_id") * 2).alias("lobe_a"), F.array(F.col("region_id") * 2 + 1, F.col("region_id")).alias("lobe_b"))
+    blocks = said.select("page_id", "group_id", "is_bubble", ((F.col("b") - F.col("t")) / 8.0).alias("font_size"), F.col("text").alias("ja"), F.col("translated").alias("en"))
+    kind = F.element_at(F.array(F.lit("BUBBLED"), F.lit("ORPHAN"), F.lit("SFX")), F.col("conf_m") % 3 + 1)
+    return T.to_page_json(t.boxes, t.regions, t.lines, W, H, categories=t.boxes.withColumn("category", kind), partitions=parts, groups=groups, group_lines=held, translations=said, blocks=blocks, engine="stub")
+
+
+@query("src_telemetry_stages", uses="boxes regions lines", also=CUTS + f""",
+hl AS (SELECT * FROM (SELECT x.*, (SELECT min(g.region_id) FROM regions g WHERE g.page_id=x.page_id AND {holds('g', 'x')}) AS region_id FROM lines x) WHERE region_id IS NOT NULL)""", sql="""
+SELECT 'categories' AS kind, page_id, box_id AS item_id, concat_ws('|', CASE conf_m%3 WHEN 0 THEN 'BUBBLED' WHEN 1 THEN 'ORPHAN' ELSE 'SFX' END, l, t, r, b) AS v FROM boxes
+UNION ALL SELECT 'partitions', page_id, region_id, concat_ws('|', l, t, r, b, CAST(region_id%3=0 AS VARCHAR), region_id%1000, p1x, p1y, p2x, p2y, p1x+1, CASE WHEN region_id%5>0 THEN p2x END, l, t, region_id*2, region_id*2+1, region_id) FROM cuts
+UNION ALL SELECT 'groups', page_id, region_id, concat_ws('|', CAST(region_id%2=0 AS VARCHAR), 'BUBBLED', region_id, l, t, r, b, 'g'||region_id) FROM regions
+UNION ALL SELECT 'group_lines', page_id, line_id, concat_ws('|', region_id, line_id%7, l, t, r, b, 'x'||line_id) FROM hl
+UNION ALL SELECT 'translations', page_id, region_id, concat_ws('|', CAST(region_id%2=0 AS VARCHAR), 'BUBBLED', 'g'||region_id, 'T'||region_id, l, t, r, b) FROM regions
+UNION ALL SELECT 'blocks', page_id, region_id, concat_ws('|', CAST(region_id%2=0 AS VARCHAR), CAST((b-t)*125 AS BIGINT), 'g'||region_id, 'T'||region_id) FROM regions""")
+def _(t):
+    """All stages written as page documents, read back, and each table's rows told apart."""
+    x = T.explode_telemetry(T.parse_telemetry(full_docs(t)))
+
+    def rows(kind, key, *values):
+        return x[kind].select(F.lit(kind).alias("kind"), "page_id", F.col(key).alias("item_id"), F.concat_ws("|", *[F.col(v).cast("string") if isinstance(v, str) else v.cast("string") for v in values]).alias("v"))
+
+    thousand = lambda c: F.round(F.col(c) * 1000).cast("long")
+    rect = [F.col(f"bubble_rect.{s}") for s in ("left", "top", "right", "bottom")]
+    out = [rows("categories", "id", "category", *"ltrb"),
+           rows("partitions", "bubble_index", *rect, "is_conjoined", thousand("conf_conj"), "p1_raw.x", "p1_raw.y", "p2_raw.x", "p2_raw.y", "p1_snapped.x", "p2_snapped.x",
+                F.col("candidate_notches")[0]["x"], F.col("candidate_notches")[0]["y"], F.col("lobe_a_line_ids")[0], F.col("lobe_b_line_ids")[0], F.col("lobe_b_line_ids")[1]),
+           rows("groups", "group_id", "is_bubble", "category", "bubble_index", *"ltrb", "recognized_text"),
+           rows("group_lines", "line_id", "group_id", "reading_order", *"ltrb", "recognized_text"),
+           rows("translations", "group_id", "is_bubble", "category", "recognized_text", "translated_text", *"ltrb"),
+           rows("blocks", "group_id", "is_bubble", thousand("font_size"), "ja", "en")]
+    whole = out[0]
+    for part in out[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 @query("sink_telemetry", uses="boxes regions lines", sql="""
 SELECT page_id, count(*) FILTER (WHERE k='b') AS n_boxes, count(*) FILTER (WHERE k='g') AS n_regions, count(*) FILTER (WHERE k='l') AS n_lines, count(*) FILTER (WHERE k='l' AND c='ORPHAN') AS n_orphan, min(i) FILTER (WHERE k='b') AS first_box
 FROM (SELECT page_id, 'b' AS k, box_id AS i, '' AS c FROM boxes UNION ALL SELECT page_id, 'g', region_id, '' FROM regions UNION ALL SELECT page_id, 'l', line_id, category FROM lines) GROUP BY page_id""")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pagelattice.functions import geometry as G
 from pagelattice.operators.joins import center_first, center_or_overlap
-from pagelattice.operators.pagefold import cluster, fold, fold_pages, greedy_keep, let, page_arrays
+from pagelattice.operators.pagefold import cluster, fold, fold_pages, greedy_keep, hot_pages, let, page_arrays
 from pagelattice.operators.ranking import with_previous
 from pagelattice.operators.spatial import best_match, near_pairs, nearest_center
 from pagelattice.session import cut_lineage
@@ -468,6 +468,8 @@ def split_tall_regions(regions: DataFrame, lines: DataFrame) -> DataFrame:
 # ---- order-dependent steps on one page or region --------------------------------------------
 
 
+#: Rectangles of a page that are united in one scan.
+SCAN = 100
 #: When two rectangles are one, in hundredths of the smaller area or of the union.
 UNION_RULES = {
     "nested": lambda p, q, both, least: both * 100 >= least * 40,
@@ -478,8 +480,10 @@ UNION_RULES = {
 
 def merge_overlaps(boxes: DataFrame, rule: str = "nested", row_id: str = "box_id", keys: Sequence[str] = ("page_id",), hot="find") -> DataFrame:
     """Pairwise union to the fixpoint: ``nested`` (.40 of the smaller), ``alike`` (IoU .45 or containment .85) or ``touching``
-    (.12 of the smaller). Each turn unites the first rectangle by id that has a partner with its first partner; a page has at
-    most as many turns as rectangles."""
+    (.12 of the smaller). Each turn unites the first rectangle by id that has a partner with its first partner. Turns look at all pairs, so
+    only pages of ``SCAN`` rectangles or less are scanned whole; others by blocks that no union leaves."""
+    boxes = boxes.select(*keys, row_id, *SIDES)
+    hot = hot_pages(boxes, list(keys), SCAN) if hot == "find" else hot
 
     def meets(x, y):
         both = G.intersection(x, y)
@@ -501,4 +505,4 @@ def merge_overlaps(boxes: DataFrame, rule: str = "nested", row_id: str = "box_id
         done = F.aggregate(F.sequence(F.lit(1), F.size("xs")), F.struct(F.col("xs"), F.lit(True).alias("more")), turn)["xs"]
         return arrays.select(*by, F.explode(done).alias("x")).select(*by, F.col("x.id").alias(row_id), *[F.col(f"x.{c}").alias(c) for c in SIDES])
 
-    return fold_pages(boxes.select(*keys, row_id, *SIDES), scan, row_id=row_id, keys=list(keys), hot=hot)
+    return fold_pages(boxes, scan, row_id=row_id, keys=list(keys), hot=hot)

@@ -20,10 +20,11 @@ from pagelattice.operators.spatial import near_pairs
 from pagelattice.session import cut_lineage, page_row_limit
 
 
-def hot_pages(df: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame | None:
-    """Keys above the row limit, or None. Reads only the key columns."""
+def hot_pages(df: DataFrame, keys: Sequence[str] = ("page_id",), limit: int | None = None) -> DataFrame | None:
+    """Keys above the row limit (or ``limit``, if that is lower), or None. Reads only the key columns."""
     sizes = df.groupBy(*keys).count()
-    hot = sizes.where(F.col("count") > page_row_limit(df.sparkSession)).select(*keys)
+    most = page_row_limit(df.sparkSession)
+    hot = sizes.where(F.col("count") > (most if limit is None else min(most, limit))).select(*keys)
     return None if hot.isEmpty() else cut_lineage(hot)
 
 

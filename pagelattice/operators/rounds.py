@@ -143,7 +143,8 @@ def edge_trim(units: DataFrame, page_w: int, page_h: int, row_id: str = "box_id"
         F.max("c.cl").alias("cl"), F.max("c.ct").alias("ct"), F.min("c.cr").alias("cr"), F.min("c.cb").alias("cb"))
     hold = {"l": F.greatest("l", "cl"), "t": F.greatest("t", "ct"), "r": F.least("r", "cr"), "b": F.least("b", "cb")}
     most = {"l": page_w, "r": page_w, "t": page_h, "b": page_h}
-    out = units.join(cuts, [*keys, row_id], "left").select(*keys, row_id, *[G.clamp(hold[s], 0, most[s]).alias(s) for s in SIDES])
+    rest = [c for c in units.columns if c not in (*keys, row_id, *SIDES)]
+    out = units.join(cuts, [*keys, row_id], "left").select(*keys, row_id, *[G.clamp(hold[s], 0, most[s]).alias(s) for s in SIDES], *rest)
     return out.where((F.col("r") - F.col("l") >= least) & (F.col("b") - F.col("t") >= least))
 
 
@@ -191,6 +192,15 @@ def crossover_resolve(lines: DataFrame, row_id: str = "line_id", least: int = 6)
     return in_rounds(lines.select(*cols, "cw"), find, settle, ["page_id"]).select(*cols)
 
 
+def united(units: DataFrame, rule, row_id: str = "unit_id", keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Rectangles that ``rule(a, b, shared, smaller)`` calls one, joined until none are, those that share most first. ``n`` adds up."""
+    def link(a, b):
+        shared = G.intersection(a, b)
+        return (shared > 0) & rule(a, b, shared, G.min_area(a, b))
+
+    return merged(units.select(*keys, row_id, *SIDES, "n"), link, lambda a, b: [-G.intersection(a, b)], [*enclosing(), F.sum("n").alias("n")], row_id=row_id, keys=keys)
+
+
 # ---- boxes --------------------------------------------------------------------------------------
 
 def recombine_glyphs(boxes: DataFrame, row_id: str = "box_id") -> DataFrame:

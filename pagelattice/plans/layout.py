@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagelattice.functions import geometry as G
 from pagelattice.functions.text import compose
-from pagelattice.operators import grouping as GR, joins as J
+from pagelattice.operators import grouping as GR, joins as J, rounds as R
 from pagelattice.operators.filters import region_size
 from pagelattice.operators.ordering import reading_key
 from pagelattice.operators.pagefold import hot_pages
@@ -108,6 +108,22 @@ def group_text(grouped: DataFrame, texts: DataFrame) -> DataFrame:
     return d.groupBy("page_id", "group_no").agg(compose(F.transform(F.array_sort(F.collect_list(F.struct("line_order", "text"))), lambda x: x["text"])).alias("text"))
 
 
+def line_text(boxes: DataFrame, lines: DataFrame) -> DataFrame:
+    """(page_id, line_id, text) from boxes with a recognised ``text``: each line has the boxes whose centre it is the first line to hold,
+    from top to bottom. A line's text is gathered in one place, as it is one value."""
+    held = best_match(boxes.select("page_id", "box_id", *SIDES, "text"), lines.select("page_id", "line_id", *SIDES), lambda a, g: G.holds_center(g, a),
+                      rank=lambda a, g: [g["line_id"]], pick={"line_id": "line_id"})
+    parts = F.array_sort(F.collect_list(F.struct("t", "box_id", "text")))
+    return held.where("line_id IS NOT NULL").groupBy("page_id", "line_id").agg(compose(F.transform(parts, lambda x: x["text"])).alias("text"))
+
+
+def layout_text(boxes: DataFrame, regions: DataFrame, envelopes: DataFrame, cuts: DataFrame, page_w: int = 512, page_h: int = 800) -> DataFrame:
+    """From boxes with recognised ``text`` to the text of each dialogue group in reading order. A group no box lies in has an empty text."""
+    grouped = cut_lineage(layout_groups(boxes, regions, envelopes, cuts, page_w, page_h))
+    texts = group_text(grouped, line_text(boxes, grouped))
+    return group_table(grouped).join(texts, ["page_id", "group_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def categorize(boxes: DataFrame, regions: DataFrame, envelopes: DataFrame, iou: int = 35) -> tuple[DataFrame, DataFrame]:
     """Suppressed boxes with region or cluster and category, and the combined regions. Hot pages are
     looked up once, on the input, as no later step adds rows to a page."""
@@ -154,10 +170,13 @@ PRESETS = {
     0: "strict lines, then fragment groups",
     1: "boxes to fragment groups, fenced by region",
     2: "bridged lines",
+    3: "regions and outside units, joined where they overlap and cut apart",
     4: "vertical lines to lobes and outside clusters",
     5: "whole regions, tall ones split, with outside clusters",
     6: "coverage tiers with nearest centre",
+    7: "lines by coverage tiers and outside clusters, like units joined",
     8: "coverage tiers over cut regions",
+    9: "lines by coverage tiers over cut regions and outside clusters, like units joined",
 }
 
 
@@ -189,6 +208,25 @@ def layout(boxes: DataFrame, regions: DataFrame, method: int, cuts: DataFrame |
         inner = units(placed.where("region_id >= 0"), "region_id")
         outer = units(GR.proximity_clusters(placed.where("region_id < 0").drop("region_id")), "cluster_id")
         return inner.select(*tail).unionByName(outer.withColumn("unit_id", -1 - F.col("unit_id")).select(*tail))
+    outside_id = -1 - F.col("cluster_id")
+    if method == 3:
+        placed = cut_lineage(J.center_or_overlap(boxes, regions))
+        inner = units(placed.where("region_id >= 0"), "region_id").select(*tail)
+        bars = gutters if gutters is not None else boxes.sparkSession.createDataFrame([], "page_id bigint, gutter_x int, gutter_y int")
+        outer = GR.outside_units(placed.where("region_id < 0").select(*boxes.columns), bars, page_w, page_h).withColumn("unit_id", outside_id)
+        return R.edge_trim(R.united(inner.unionByName(outer.select(*tail)), GR.UNION_RULES["touching"]), page_w, page_h, row_id="unit_id").select(*tail)
+    if method in (7, 9):
+        if method == 9 and cuts is None:
+            raise ValueError("preset 9 needs the cut lines of the regions")
+        lines = cut_lineage(extract_lines(boxes, regions, page_w, page_h).select("page_id", F.col("reading_order").alias("box_id"), *SIDES))
+        placed = cut_lineage(J.ioa_tiered(lines, regions, page_w, page_h))
+        inner = placed.where("region_id IS NOT NULL").withColumn("unit_id", F.col("region_id"))
+        if method == 9:
+            lobe = half_plane(lines.withColumnRenamed("box_id", "line_id"), cuts).withColumnRenamed("line_id", "box_id")
+            inner = inner.join(lobe, ["page_id", "region_id", "box_id"], "left").withColumn("unit_id", F.col("region_id") * 2 + F.when(F.col("lobe") == "B", 1).otherwise(0))
+        stray = placed.where("region_id IS NULL").select("page_id", F.col("box_id").alias("line_id"), *SIDES)
+        outer = units(GR.outside_clusters(stray).withColumn("unit_id", outside_id), "unit_id")
+        return R.united(units(inner, "unit_id").select(*tail).unionByName(outer.select(*tail)), GR.UNION_RULES["alike"]).select(*tail)
     if method == 8:
         if cuts is None:
             raise ValueError("preset 8 needs the cut lines of the regions")

@@ -61,14 +61,51 @@ def _rect() -> list[Column]:
     return [F.col(s).alias(n) for s, n in zip("ltrb", ("left", "top", "right", "bottom"))]
 
 
-def to_page_json(boxes: DataFrame, regions: DataFrame, lines: DataFrame, page_w: int, page_h: int, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(page_id, part, doc): nested documents with per-stage counts, items in id order."""
+def _rect_struct() -> Column:
+    return F.struct(*_rect())
+
+
+def _point(x: str, y: str) -> Column:
+    return F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
+
+
+def _with_lines(groups: DataFrame, group_lines: DataFrame | None) -> DataFrame:
+    """Groups with their lines in reading order; a group is one object, so its lines stand together."""
+    if group_lines is None:
+        return groups.withColumn("_lines", F.lit(None).cast("array<struct<line_id:bigint>>"))
+    line = F.struct(F.col("line_id").cast("long").alias("line_id"), F.col("reading_order").cast("int").alias("reading_order"), *_rect(), F.col("text").alias("recognized_text"))
+    listed = group_lines.groupBy("page_id", "group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "line_id", line.alias("x")))), lambda e: e["x"]).alias("_lines"))
+    return groups.join(listed, ["page_id", "group_id"], "left")
+
+
+def to_page_json(boxes: DataFrame, regions: DataFrame, lines: DataFrame, page_w: int, page_h: int, max_items: int = MAX_ITEMS, *,
+                 categories: DataFrame | None = None, partitions: DataFrame | None = None, groups: DataFrame | None = None, group_lines: DataFrame | None = None,
+                 translations: DataFrame | None = None, blocks: DataFrame | None = None, engine: str = "none") -> DataFrame:
+    """(page_id, part, doc): nested documents with per-stage counts, items in id order. Stages that aren't given are left out.
+
+    ``categories(page_id, box_id, category, l t r b)``; ``partitions(page_id, region_id, l t r b, is_conjoined, conf_conj, p1x_raw p1y_raw p2x_raw
+    p2y_raw, p1x p1y p2x p2y, notches, lobe_a, lobe_b)``; ``groups(page_id, group_id, region_id, is_bubble, category, l t r b, text)`` with
+    ``group_lines(page_id, group_id, line_id, reading_order, l t r b, text)``; ``translations`` like groups with ``translated``;
+    ``blocks(page_id, group_id, is_bubble, font_size, ja, en)``."""
     a = G.rect()
     kinds = {
         "boxes": (boxes, "box_id", F.struct(F.col("box_id").alias("id"), (F.col("conf_m") / 1000.0).alias("confidence"), *_rect(), G.center_x(a).alias("centerX"), G.center_y(a).alias("centerY"))),
         "bubbles": (regions, "region_id", F.struct(F.col("region_id").alias("index"), *_rect(), G.width(a).alias("width"), G.height(a).alias("height"))),
         "lines": (lines, "line_id", F.struct(F.col("line_id").alias("id"), "category", F.lit("VERTICAL").alias("orientation"), *_rect())),
     }
+    if categories is not None:
+        kinds["categories"] = (categories, "box_id", F.struct(F.col("box_id").alias("id"), "category", *_rect()))
+    if partitions is not None:
+        kinds["partitions"] = (partitions, "region_id", F.struct(
+            F.col("region_id").alias("bubble_index"), _rect_struct().alias("bubble_rect"), "is_conjoined", "conf_conj", _point("p1x_raw", "p1y_raw").alias("p1_raw"), _point("p2x_raw", "p2y_raw").alias("p2_raw"),
+            _point("p1x", "p1y").alias("p1_snapped"), _point("p2x", "p2y").alias("p2_snapped"), F.col("notches").alias("candidate_notches"), F.col("lobe_a").alias("lobe_a_line_ids"), F.col("lobe_b").alias("lobe_b_line_ids")))
+    if groups is not None:
+        kinds["groups"] = (_with_lines(groups, group_lines), "group_id", F.struct(
+            "group_id", "is_bubble", F.col("region_id").alias("bubble_index"), "category", *_rect(), F.col("text").alias("recognized_text"), F.col("_lines").alias("reading_order_lines")))
+    if translations is not None:
+        kinds["translations"] = (translations, "group_id", F.struct("group_id", "is_bubble", "category", F.col("text").alias("recognized_text"), F.col("translated").alias("translated_text"), *_rect()))
+    if blocks is not None:
+        kinds["blocks"] = (blocks, "group_id", F.struct("group_id", "is_bubble", "font_size", "ja", "en"))
     stacked = None
     for name, (d, row_id, item) in kinds.items():
         d = ranked(d, ["page_id"], [F.col(row_id)], id_buckets(row_id), "_rn").withColumn("part", F.floor((F.col("_rn") - 1) / max_items))
@@ -76,19 +113,25 @@ def to_page_json(boxes: DataFrame, regions: DataFrame, lines: DataFrame, page_w:
         stacked = g if stacked is None else stacked.unionByName(g, allowMissingColumns=True)
     d = stacked.groupBy("page_id", "part").agg(*[F.first(n, ignorenulls=True).alias(n) for n in kinds])
     number = lambda kind: F.count_if(F.col("category") == kind).cast("int")
-    totals = [boxes.groupBy("page_id").agg(F.count("*").cast("int").alias("n_boxes")), regions.groupBy("page_id").agg(F.count("*").cast("int").alias("n_bubbles")),
-              lines.groupBy("page_id").agg(F.count("*").cast("int").alias("n_lines"), *[number(k).alias(f"n_{k}") for k in ("BUBBLED", "ORPHAN", "SFX")])]
-    for total in totals:
-        d = d.join(total, "page_id", "left")
-    size = lambda c: F.coalesce(F.col({"boxes": "n_boxes", "bubbles": "n_bubbles", "lines": "n_lines"}[c]), F.lit(0))
+    more = {"lines": [number(k).alias(f"n_{k}") for k in ("BUBBLED", "ORPHAN", "SFX")], "partitions": [F.count_if("is_conjoined").cast("int").alias("n_conjoined")]}
+    for name, (table, _, _) in kinds.items():
+        d = d.join(table.groupBy("page_id").agg(F.count("*").cast("int").alias(f"n_{name}"), *more.get(name, [])), "page_id", "left")
+    size = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
     state = lambda c: F.when(size(c) > 0, "COMPLETED").otherwise("PENDING").alias("status")
-    of = lambda kind: F.coalesce(F.col(f"n_{kind}"), F.lit(0))
-    doc = F.struct(
+    doc = [
         F.col("page_id").alias("page_index"), F.lit(page_w).alias("image_width"), F.lit(page_h).alias("image_height"),
         F.struct(state("boxes"), size("boxes").alias("lines_count"), size("bubbles").alias("bubbles_count"), F.col("boxes").alias("lines"), "bubbles").alias("module_1_ctd"),
-        F.struct(state("lines"), size("lines").alias("total_lines"), of("BUBBLED").alias("bubbled_lines_count"), of("ORPHAN").alias("orphan_lines_count"),
-                 of("SFX").alias("sfx_lines_count"), "lines").alias("module_2_vertical_lines"))
-    return d.select("page_id", "part", F.to_json(doc).alias("doc"))
+        F.struct(state("lines"), size("lines").alias("total_lines"), size("BUBBLED").alias("bubbled_lines_count"), size("ORPHAN").alias("orphan_lines_count"),
+                 size("SFX").alias("sfx_lines_count"), "lines").alias("module_2_vertical_lines")]
+    extra = {
+        "categories": lambda: F.struct(state("categories"), size("categories").alias("total_boxes"), F.col("categories").alias("boxes")).alias("module_1_5_categorize"),
+        "partitions": lambda: F.struct(state("partitions"), size("partitions").alias("total_partitions"), size("conjoined").alias("conjoined_count"), "partitions").alias("module_3_waist_crunch"),
+        "groups": lambda: F.struct(state("groups"), size("groups").alias("total_groups"), "groups").alias("module_4_ocr"),
+        "translations": lambda: F.struct(state("translations"), F.lit(engine).alias("engine"), size("translations").alias("total_groups"), F.col("translations").alias("groups")).alias("module_5_translate"),
+        "blocks": lambda: F.struct(state("blocks"), size("blocks").alias("total_blocks_typeset"), "blocks").alias("module_6_typeset"),
+    }
+    doc += [make() for name, make in extra.items() if name in kinds]
+    return d.select("page_id", "part", F.to_json(F.struct(*doc)).alias("doc"))
 
 
 @udtf(returnType="stage string, item_id bigint, l int, t int, r int, b int")

@@ -156,3 +156,39 @@ def test_union_goes_on_to_the_fixpoint(spark):
             assert sorted(r.box_id for r in GR.merge_overlaps(d).collect()) == [2 * i for i in range(12)]
         finally:
             spark.conf.unset("pagelattice.pageRowLimit")
+
+
+def test_crops_without_an_archive_have_an_unknown_title(spark):
+    crops = spark.createDataFrame([("b1", "c07_p012.webp"), ("b2", "c7_p1.webp"), ("b3", "c99_p1.webp"), ("b4", "cover.webp"), ("b5", None)], "bubble_id string, page_name string")
+    archives = spark.createDataFrame([("cbz_07.cbz", "Seven"), ("cbz_08.cbz", "Eight")], "archive string, title string")
+    got = {r.bubble_id: (r.archive, r.title) for r in J.lineage(crops, archives).collect()}
+    assert got == {"b1": ("cbz_07.cbz", "Seven"), "b2": ("cbz_07.cbz", "Seven"), "b3": ("cbz_99.cbz", "Unknown"), "b4": (None, "Unknown"), "b5": (None, "Unknown")}
+
+
+def test_pages_without_fragmented_columns_stay_in_the_audit(spark):
+    owned = spark.createDataFrame([(1, 1, 1, 0, 0, 20, 90, 48), (1, 1, 2, 100, 0, 120, 90, 48), (2, 1, 3, 0, 0, 20, 90, 48), (2, 1, 4, 4, 0, 24, 90, 48)],
+                                  "page_id bigint, region_id bigint, line_id bigint, l int, t int, r int, b int, local_width2 int")
+    assert sorted(tuple(r) for r in A.fragmentation(owned).collect()) == [(1, 0), (2, 1)]
+
+
+def test_two_thousand_paired_boxes_on_one_page(spark):
+    import time
+    rows = [(1, 2 * i + k, 30 * (i % 40) + k, 30 * (i // 40), 30 * (i % 40) + 20, 30 * (i // 40) + 20) for i in range(1000) for k in (0, 1)]
+    boxes = rects(spark, rows)
+    GR.merge_overlaps(boxes.limit(10), "nested").collect()
+    start = time.time()
+    got = sorted(tuple(r) for r in GR.merge_overlaps(boxes, "nested").collect())
+    assert time.time() - start < 30
+    assert got == sorted((1, 2 * i, 30 * (i % 40), 30 * (i // 40), 30 * (i % 40) + 20, 30 * (i // 40) + 20) for i in range(1000))
+
+
+def test_matching_keeps_equal_rows_and_null_sides_without_row_ids(spark):
+    from pagelattice.operators.spatial import best_match, with_match_flag
+    left = rects(spark, [(1, 1, 0, 0, 600, 600), (1, 1, 0, 0, 600, 600), (1, 1, 0, 0, 600, 600), (1, 2, None, 0, 5, 5), (1, 2, None, 0, 5, 5), (2, 3, 9, 9, 9, 9)])
+    right = spark.createDataFrame([(1, 7, 10, 10, 20, 20), (1, 8, 500, 500, 590, 590)], "page_id bigint, region_id bigint, l int, t int, r int, b int")
+    over = lambda a, b: b["region_id"] > 0
+    got = best_match(left, right, over, rank=lambda a, b: [-b["region_id"]], pick={"into": "region_id"})
+    assert sorted((r.box_id, r.into) for r in got.collect() if r.into) == [(1, 8)] * 3 and got.where("into IS NULL").count() == 3
+    flagged = with_match_flag(left, right, over)
+    assert sorted((r.box_id, r.matched) for r in flagged.collect()) == [(1, True)] * 3 + [(2, False)] * 2 + [(3, False)]
+    assert "monotonically_increasing_id" not in got._jdf.queryExecution().toString()
