@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -16,10 +18,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pagelattice.llm.common import shared_folder, stash, table, text_or_empty
-from pagelattice.llm.pretokens import PIECE, PIECE_CACHE, Units, added_pattern
+from pagelattice.llm.common import shared_folder, slices, stash, table, text_or_empty
+from pagelattice.llm.pretokens import PIECE, PIECE_CACHE, SPACE, added_pattern, units_of
 
 MAGIC = b"PLTOK001"
+#: Characters of the texts whose new units are asked for at once.
+SLICE = 400_000
+#: Units that a worker knows before it starts anew with those it used since (about 140 MB, twice that with them).
+KNOWN_UNITS = 700_000
+#: Signs that end many units; and the end of the letters whose units are cut before them.
+SIGNS, LATIN_END = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
+ODD = re.compile(r"\s")
 #: Ids in a block; a whole number of bytes at any width.
 BLOCK = 1 << 15
 WHOLE = {8: "u1", 16: "<u2", 32: "<u4"}
@@ -47,37 +56,113 @@ def unpack(data: bytes, count: int, bits: int) -> np.ndarray:
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each unit of blank and word that a worker meets."""
+    """The tokenizers library, asked once for all the units of blank and word that a slice of texts has and a worker doesn't know yet.
+
+    New units go to the library as the lines of one text. A line end is a piece and a token of its own between them, so it tells where
+    each unit's ids end."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-        self.cut = added_pattern(added) if added else None
-        self.units = Units(self.pieces)
-        self.signs: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> bytes:
-        """A unit of letters is asked for as it is; of others the word is looked up and the signs about it are remembered."""
-        if text[1:].isalpha() and text[0] == " ":
-            return self.ask(text)
-        return b"".join([self.units[p[1:]] if p[0] == " " and p != text and p[1:].isalpha() else self.sign(p) for p in PIECE.findall(text)])
-
-    def sign(self, piece: str) -> bytes:
-        if piece not in self.signs:
-            if len(self.signs) >= PIECE_CACHE:
-                self.signs.clear()
-            self.signs[piece] = self.ask(piece)
-        return self.signs[piece]
+            self.added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        self.cut = added_pattern(self.added) if self.added else None
+        self.kind = np.dtype("<u2" if width_of(self.tokenizer.get_vocab_size()) <= 16 else "<u4")
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.known: dict[str, bytes] = {}  # ids of what follows a blank, the blank included
+        self.before: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}  # ids of pieces without a blank before them
 
     def ask(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def ask_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each of some texts without white space but for a blank at the start."""
+        if not texts:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(texts)], add_special_tokens=False)[0].ids, self.kind)
+        ends = np.flatnonzero(ids == self.line_end[0]).tolist() if len(self.line_end) == 1 else []
+        if len(ends) != len(texts) - 1:  # another kind of tokenizer
+            return [self.ask(t) for t in texts]
+        data, size = ids.tobytes(), self.kind.itemsize
+        return [data[a * size:b * size] for a, b in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+
+    def _learn(self, firsts: set[str], units: set[str]) -> None:
+        """Makes ``alone`` know the pieces of texts' beginnings and ``known`` all units."""
+        if len(self.known) > KNOWN_UNITS:  # frequent units stay for another round
+            self.known, self.before = {}, self.known
+        if len(self.alone) > PIECE_CACHE:
+            self.alone = {}
+        new, apart, tailed, single = set(), {}, [], set()
+        known, before = self.known, self.before
+        for unit in units:
+            if unit in known:
+                continue
+            if unit in before:
+                known[unit] = before[unit]
+                continue
+            core = unit.rstrip(SIGNS)
+            if core.isalpha() and core[-1] < LATIN_END:  # letters are a piece, and signs after them another
+                if len(core) < len(unit):
+                    tailed.append((unit, core))
+                    single.add(unit[len(core):])
+                    if core in known:
+                        continue
+                    if core in before:
+                        known[core] = before[core]
+                        continue
+                new.add(core)
+            elif not unit or ODD.search(unit):
+                apart[unit] = PIECE.findall(" " + unit)
+            else:
+                new.add(unit)
+        single = {sign for sign in single if sign not in self.alone}
+        pieces = {p for f in firsts for p in PIECE.findall(f)}
+        for parts in apart.values():
+            pieces.update(parts)
+        for p in pieces:
+            if p[0] == " " and p != " " and not SPACE.search(p, 1):
+                if p[1:] not in self.known:
+                    new.add(p[1:])
+            elif p not in self.alone:
+                if SPACE.search(p):
+                    self.alone[p] = self.ask(p)
+                else:
+                    single.add(p)
+        listed, lone = list(new), list(single)
+        got = self.ask_all([" " + u for u in listed] + lone)
+        self.known.update(zip(listed, got, strict=False))
+        self.alone.update(zip(lone, got[len(listed):], strict=True))
+        for unit, core in tailed:
+            self.known[unit] = self.known[core] + self.alone[unit[len(core):]]
+        for unit, parts in apart.items():
+            self.known[unit] = self._joined(parts)
+
+    def _joined(self, pieces: list[str]) -> bytes:
+        return b"".join([self.alone[p] if p in self.alone else self.known[p[1:]] for p in pieces])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of ``kind``."""
+        cut, firsts, units = [], set(), set()
+        for text in texts:
+            parts = self.cut.split(text) if self.cut else [text]
+            split = [units_of(p) if i % 2 == 0 else p for i, p in enumerate(parts)]
+            cut.append(split)
+            for part in split[::2]:
+                firsts.add(part[0])
+                units.update(part[1:])
+        self._learn(firsts, units)
+        of = self.known.__getitem__
+        out = []
+        for split in cut:
+            done = [np.array([self.added[p]], self.kind).tobytes() if i % 2 else self._joined(PIECE.findall(p[0])) + b"".join(map(of, p[1:])) for i, p in enumerate(split)]
+            out.append(done[0] if len(done) == 1 else b"".join(done))
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.cut.split(text) if self.cut else [text]
-        return np.frombuffer(b"".join([self.ask(p) if i % 2 else self.units.whole(p) for i, p in enumerate(parts)]), "<u4")
+        return np.frombuffer(self.encode_all([text])[0], self.kind)
 
 
 @lru_cache(2)
@@ -150,7 +235,7 @@ def _write(path: str, end_id: int, folder: str, most: int):
     def run(batches):
         encoder = encoder_of(path)
         bits = width_of(max(encoder.tokenizer.get_vocab_size(), end_id + 1))
-        small = "<u2" if bits <= 16 else "<u4"
+        small = np.dtype("<u2" if bits <= 16 else "<u4")
         end = np.array([end_id], small).tobytes()
         store, root = store_of(folder)
         store.create_dir(root, recursive=True)
@@ -166,14 +251,17 @@ def _write(path: str, end_id: int, folder: str, most: int):
             return row
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                got = encoder.encode(text)
-                doc_ids.append(doc)
-                lengths.append(len(got) + 1)
-                ids.append(got.astype(small).tobytes() + end)
-                held += len(got) + 1
-                if held >= most:
-                    yield flush()
+            rows = [batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()]
+            for docs, texts in slices(rows, [len(t) for t in rows[1]], SLICE):
+                for doc, got in zip(docs, encoder.encode_all(texts), strict=True):
+                    if encoder.kind != small:
+                        got = np.frombuffer(got, encoder.kind).astype(small).tobytes()
+                    doc_ids.append(doc)
+                    ids.append(got + end)
+                    lengths.append(len(ids[-1]) // small.itemsize)
+                    held += lengths[-1]
+                    if held >= most:
+                        yield flush()
         if doc_ids:
             yield flush()
     return run

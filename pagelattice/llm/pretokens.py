@@ -14,6 +14,7 @@ PIECE_CACHE = 500_000
 #: Fixed value: English endings, letters, numbers and other signs (each with one blank before), white space.
 PIECE = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 TWO_SPACES = re.compile(r"\s\s")
+SPACE = regex.compile(r"\s")
 
 
 class Units(dict):
@@ -34,16 +35,24 @@ class Units(dict):
         self[unit] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.before = {}
+
     def whole(self, text: str) -> bytes:
-        """The joined values of a text's units; runs of white space stay within one unit."""
+        """The joined values of a text's units."""
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        if TWO_SPACES.search(text):
-            first, *rest = _merged([first, *rest])
+        first, *rest = units_of(text)
         return self.of(first) + b"".join(map(self.__getitem__, rest)) if first else b"".join(map(self.__getitem__, rest))
 
 
+def units_of(text: str) -> list[str]:
+    """What lies between a text's single blanks: its beginning, then what follows each; runs of white space stay within one unit."""
+    parts = text.split(" ")
+    return _merged(parts) if TWO_SPACES.search(text) else parts
+
+
 def _merged(parts: list[str]) -> list[str]:
     """Parts between blanks, joined again where the blank between them touches other white space."""
     out = parts[:1]
