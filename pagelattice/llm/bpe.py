@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import table, text_or_empty
+from pagelattice.llm.common import forgetting, table, text_or_empty
 from pagelattice.llm.pretokens import PIECE, PIECE_CACHE, Units, added_pattern, read_bpe
 
 LAST = 1 << 60
@@ -220,7 +220,8 @@ def _encode(path: str):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, 500), pa.array(np.diff(sizes), pa.int64()),
                                                   pa.ListArray.from_arrays(sizes, np.concatenate(ids).astype(np.int32)), pa.array(exact, pa.bool_())],
                                                  names=["doc_id", "n_tokens", "ids", "exact"])
-    return run
+        bpe.units.forget()
+    return forgetting(run)
 
 
 def _round_trip(path: str):
@@ -246,7 +247,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, n_tokens, ids, exact`` with the vocabulary file at ``path`` (a place every executor
     has); ``exact`` says that the decoded ids are the text.
 
-    Null and empty texts give no ids; a null doc_id is passed on; repeated rows are encoded each; other columns are ignored."""
+    Null and empty texts give no ids; a null doc_id is passed on; repeated rows are encoded each; other columns are ignored; no row
+    gives none. A text of any length is one row, encoded in time and memory that grow with it."""
     return _source(docs).mapInArrow(_encode(path), "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +45,38 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Rows of an Arrow batch that are turned to Python objects at once.
+THIN = 1000
+
+
+def forget(*caches) -> None:
+    """Empties a worker's caches and gives freed memory back to the system: workers go from stage to stage, and what they keep would
+    add up beside an executor's heap."""
+    for cache in caches:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def forgetting(run, *caches):
+    """A task's function over thin slices of its batches, which forgets when it ends."""
+    def wrapped(batches):
+        try:
+            yield from run(b.slice(i, THIN) for b in batches for i in range(0, b.num_rows, THIN))
+        finally:
+            forget(*caches)
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (shift, multiply, shift)."""
     x = x ^ (x >> np.uint64(31))

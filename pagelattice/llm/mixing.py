@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import stash, table, text_or_empty
+from pagelattice.llm.common import THIN, forget, forgetting, stash, table, text_or_empty
 
 #: Domains of the label table: toxic whatever the quality, else by quality.
 DOMAINS = ("plain", "junk", "toxic")
@@ -63,33 +64,38 @@ def _present(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("domain"), pa.array(rows, pa.binary())], names=["doc_id", "domain", "at"])
 
 
-def _posteriors(shared, columns: list[str]):
-    def run(batches):
+def _posteriors(shared):
+    """A column function of texts: number of words and posteriors; other columns stay in the JVM."""
+    @F.arrow_udf("tokens long, domains array<double>")
+    def soft(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, b = shared.value
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            z = np.stack([w[features(t)].sum(0, dtype=np.float64) for t in texts]) + b if texts else np.zeros((0, len(DOMAINS)))
-            p = np.exp(z - z.max(1, keepdims=True)) if texts else z
+            tokens, p = np.zeros(len(batch), np.int64), np.zeros((len(batch), len(DOMAINS)))
+            for i in range(0, len(batch), THIN):
+                texts = [t or "" for t in batch.slice(i, THIN).to_pylist()]
+                tokens[i:i + THIN] = [len(t.encode().split()) for t in texts]
+                p[i:i + THIN] = np.stack([w[features(t)].sum(0, dtype=np.float64) for t in texts]) + b
+            p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            tokens = [len(t.encode().split()) for t in texts]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))],
-                                             names=[*columns, "_tokens", "_domains"])
-    return run
+            yield pa.StructArray.from_arrays([pa.array(tokens), pa.array(list(p), pa.list_(pa.float64()))], names=["tokens", "domains"])
+        forget()
+    return soft.asNondeterministic()
 
 
-def soft_domains(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """``docs[keep]`` with ``_tokens`` (words) and ``_domains`` (posteriors over ``DOMAINS``), for every row."""
+def soft_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``row`` (a struct of all columns of ``docs``, so no name can clash), ``doc_id``, ``_tokens`` (words) and ``_domains`` (posteriors
+    over ``DOMAINS``), for every row. Several texts of one labelled doc_id teach as one of them."""
     quality, toxic = F.avg("quality") >= 0.5, F.avg("toxic") >= 0.5
     known = labels.where("doc_id is not null and quality in (0, 1) and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
         .agg(F.when(toxic, 2).when(quality, 0).otherwise(1).alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").mapInArrow(_present, "doc_id long, domain int, at binary").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
+    seen = texts.join(F.broadcast(known), "doc_id").mapInArrow(forgetting(_present), "doc_id long, domain int, at binary")
+    rows = seen.groupBy("doc_id").agg(F.min("domain"), F.min("at")).collect()  # one row for each labelled document
+    rows.sort(key=lambda r: r[0])
     w, b = fit_domains([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
     shared = docs.sparkSession.sparkContext.broadcast((w, b))
-    names = list(dict.fromkeys([*keep, "text"]))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(keep).schema.fields)
-    return docs.select(names).mapInArrow(_posteriors(shared, keep), f"{fields}, _tokens long, _domains array<double>")
+    soft = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _posteriors(shared)("text").alias("soft"))
+    return soft.select("row", "doc_id", F.col("soft.tokens").alias("_tokens"), F.col("soft.domains").alias("_domains"))
 
 
 def rate_of(prices: list[float], domains: Column) -> Column:
@@ -100,8 +106,9 @@ def rate_of(prices: list[float], domains: Column) -> Column:
     return F.greatest(F.lit(0.0), rate)
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float]) -> list[float]:
-    """A price for each domain, from which each document's rate follows.
+def fit_rates(soft: DataFrame, targets: dict[str, float], grow: bool = True) -> list[float]:
+    """A price for each domain, from which each document's rate follows. Without ``grow``, a domain with less than its target
+    keeps what it has: no document is repeated to raise it.
 
     The rates are those nearest to 1 (squares, by token) that are not negative and bring the domains' expected token totals
     to their targets; a ridge of RIDGE makes that the nearest totals where no rates reach them. Such rates are ``rate_of`` prices
@@ -110,13 +117,13 @@ def fit_rates(soft: DataFrame, targets: dict[str, float]) -> list[float]:
     sums; the driver keeps one price per domain, and rates are never stored or shuffled.
     """
     k = len(DOMAINS)
-    d, n, r = F.col("_domains"), F.col("_tokens"), F.col("_rate")
+    d, n, r = F.col("_domains"), F.col("_tokens"), F.col("rate")
     cells = [(i, j) for i in range(k) for j in range(i, k)]
 
     def sums(prices: np.ndarray) -> tuple[float, np.ndarray, np.ndarray] | None:
         """Of all documents: squared rates, expected totals, and the Gram matrix of those not clipped."""
         live = F.when(r > 0, n).otherwise(0)
-        row = soft.select("_domains", "_tokens", rate_of([float(x) for x in prices], d).alias("_rate")) \
+        row = soft.select("_domains", "_tokens", rate_of([float(x) for x in prices], d).alias("rate")) \
             .agg(F.sum(n * r * r), *[F.sum(d[i] * n * r) for i in range(k)], *[F.sum(d[i] * d[j] * live) for i, j in cells]).first()
         if not row[0]:
             return None if row[0] is None else (0.0, np.zeros(k), np.zeros((k, k)))
@@ -131,6 +138,8 @@ def fit_rates(soft: DataFrame, targets: dict[str, float]) -> list[float]:
         return []
     whole = found[0]  # at rates of 1 the squares add up to all tokens
     goal = np.array([targets[x] for x in DOMAINS]) * found[1][0] / targets[DOMAINS[0]]  # the first domain keeps its total
+    if not grow:
+        goal = np.minimum(goal, found[1])
 
     def judged(found, prices):
         squares, now, gram = found
@@ -156,9 +165,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
     ``copies`` is the rate rounded up or down by a hash of the doc_id, so its expectation is the rate. Null and empty texts
     have no words and posteriors of the prior; labels outside 0 and 1 and null ids are ignored; without labels all
-    domains are alike. Repeated rows get equal rates. Other columns are ignored.
+    domains are alike. Repeated rows get equal rates. Other columns are ignored; no row gives none. A text of any length counts
+    whole.
     """
-    soft = stash(soft_domains(docs.select("doc_id", "text"), labels, ["doc_id"]))
+    soft = stash(soft_domains(docs.select("doc_id", "text"), labels).drop("row"))
     rate = rate_of(fit_rates(soft, targets or TARGETS), F.col("_domains"))
     return soft.select("doc_id", F.col("_tokens").alias("n_words"), *[F.col("_domains")[i].alias(f"p_{x}") for i, x in enumerate(DOMAINS)], rate.alias("rate")) \
         .withColumn("copies", copies_of(F.col("rate")))
@@ -170,11 +180,13 @@ def copies_of(rate: Column) -> Column:
 
 
 def resampled(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its rate says; columns unchanged."""
-    soft = stash(soft_domains(docs, labels, docs.columns))
-    rate = rate_of(fit_rates(soft, targets or TARGETS), F.col("_domains"))
-    repeated = soft.withColumn("_copies", copies_of(rate)).where("_copies > 0")
-    return repeated.withColumn("_one", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """The rows of ``docs``, each as often as its rate says; columns unchanged, whatever their names. Domains over their target shrink to
+    it; one below it is not raised by repeating its few documents. Null and empty texts have no words
+    and stay by the prior's rate; an empty table gives none."""
+    soft = stash(soft_domains(docs, labels))
+    rate = rate_of(fit_rates(soft, targets or TARGETS, grow=False), F.col("_domains"))
+    repeated = soft.withColumn("copies", copies_of(rate)).where("copies > 0")
+    return repeated.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WORDS, grams, mix, slices, stash, table, text_or_empty
+from pagelattice.llm.common import WORDS, forgetting, grams, mix, slices, stash, table, text_or_empty
 from pagelattice.llm.components import components
 
 #: A prime, so that x -> first + step * x runs through all slots and any two slots are as in a random permutation.
@@ -84,8 +84,8 @@ def _may_be_alike(x: np.ndarray, y: np.ndarray, nx: int, ny: np.ndarray, percent
 def _describe(width: int):
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for part_ids, part in slices([ids, texts], [len(t) // 6 for t in texts], CHUNK):
+            ids, marks_of, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text"))
+            for part_ids, part_keys, part in slices([ids, marks_of, texts], [len(t) // 6 for t in texts], CHUNK):
                 sets = [shingle_set(t, width) for t in part]
                 full = [s for s in sets if len(s)]
                 marks = signatures(full) if full else np.zeros((0, SLOTS), np.uint64)
@@ -95,13 +95,13 @@ def _describe(width: int):
                 short = iter((mix(marks) & np.uint64(255)).astype(np.uint8))
                 short = [next(short).tobytes() + cell_counts(s).tobytes() if len(s) else b"" for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(part_ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(part_ids, pa.int64()), pa.array(part_keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                     pa.array([int(mix(s ^ np.uint64(0xC3C3C3C3)).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(np.cumsum([0, *map(len, bands)]).astype(np.int32), pa.array(np.concatenate(bands))),
                     pa.array(short, pa.binary())],
-                    names=["doc_id", "n_shingles", "s1", "s2", "bands", "short"])
-    return run
+                    names=["doc_id", "text_key", "n_shingles", "s1", "s2", "bands", "short"])
+    return forgetting(run, WORDS)
 
 
 def _sets(width: int):
@@ -109,7 +109,7 @@ def _sets(width: int):
         for batch in batches:
             sets = [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["id", "items"])
-    return run
+    return forgetting(run, WORDS)
 
 
 def _alike(percent: int):
@@ -121,7 +121,7 @@ def _alike(percent: int):
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return run
+    return forgetting(run)
 
 
 def _plausible(percent: int, best: bool):
@@ -167,8 +167,9 @@ def _plausible(percent: int, best: bool):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs(doc_id, text, ...)`` -> one row per row of it: ``doc_id, n_shingles, component_id, kept``.
+def judged(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> one row per row of it: ``doc_id, text_key, n_shingles, component_id, kept``; text_key is the
+    text's xxhash64.
 
     Two documents are linked when their shingle sets share at least ``percent`` of their union, decided on the full sets.
     Documents with equal sets become one representative before anything else, so thousands of copies are one entry. In each
@@ -180,10 +181,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     unless its ends are already connected or its signatures rule it out (three in 100,000 at the very threshold).
 
     Null and word-less texts have no shingles, link with nothing and are kept. Rows that share a doc_id are each judged by
-    their own text, under that id. A null doc_id has a null component and is kept. Other columns are ignored.
+    their own text, under that id. A null doc_id has a null component and is kept. Other columns are ignored; no row gives none.
+    A text of any length has all its shingles, its set in one task.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    described = stash(source.mapInArrow(_describe(width), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, short binary"))
+    described = stash(source.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(width), "doc_id long, text_key long, n_shingles long, s1 long, s2 long, bands array<long>, short binary"))
     full = described.where("n_shingles > 0 and doc_id is not null")
     equal = stash(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
     single = full.join(equal.select("s1", "s2", F.col("rep").alias("doc_id")), ["s1", "s2", "doc_id"]) \
@@ -220,8 +222,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = components(links).withColumnRenamed("node", "rep")
     named = stash(equal.join(named, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return described.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return described.select("doc_id", "text_key", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left").select(
+        "doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs(doc_id, text, ...)`` -> one row per row of it: ``doc_id, n_shingles, component_id, kept``; see ``judged``."""
+    return judged(docs, width, percent).drop("text_key")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` but for those whose text is near one kept; columns unchanged, whatever their names.
+
+    A row is judged by its own id and text: where one id has several texts, only the repeated ones go. Of rows equal in
+    id and text, one stays if the text has words. Rows without words or without id all stay."""
+    found = stash(judged(docs, width, percent).where("doc_id is not null and n_shingles > 0")
+                  .groupBy("doc_id", "text_key").agg(F.min("kept").alias("kept"), F.count("*").alias("times")).where("not kept or times > 1"))
+    mine = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"))
+    rest = mine.join(found, ["doc_id", "text_key"], "left_anti").select("row.*")
+    again = mine.join(found.where("kept"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    return rest.unionByName(again)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import WORD_CACHE, table, text_or_empty
+from pagelattice.llm.common import THIN, WORD_CACHE, forget, forgetting, fresh, table, text_or_empty
 
 #: Word buckets and components of a vector: together they bound what is shared with every task (2 MB).
 BUCKETS, DIM = 16_384, 32
@@ -82,7 +83,7 @@ def word_vectors(texts: DataFrame) -> np.ndarray:
     """One vector for each word bucket, from all texts: its contexts, scaled to length one, and its own index vector.
 
     Each task sends at most ``BUCKETS`` rows; the driver gets ``BUCKETS`` x ``DIM`` numbers, however many texts there are."""
-    sums = texts.select("text").mapInArrow(_contexts, "bucket long, v array<double>") \
+    sums = texts.select("text").mapInArrow(forgetting(_contexts, KNOWN), "bucket long, v array<double>") \
         .groupBy("bucket").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(DIM)]).collect()
     out = np.zeros((BUCKETS, DIM))
     for row in sums:
@@ -171,17 +172,19 @@ def _features(vectors):
         for batch in batches:
             x = pooled(batch.column("text").to_pylist(), vectors.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
-    return run
+    return forgetting(run, KNOWN)
 
 
-def _scores(shared):
-    def run(batches):
+def _scores(shared) -> Column:
+    """A column function of texts: other columns stay in the JVM."""
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors, net = shared.value
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            score = net.score(pooled(texts, vectors).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "_score"])
-    return run
+        for texts in batches:
+            parts = [net.score(pooled([t or "" for t in texts.slice(i, THIN).to_pylist()], vectors).astype(np.float64)) for i in range(0, len(texts), THIN)]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+        forget(KNOWN)
+    return score.asNondeterministic()  # so that a filter on the score doesn't compute it again
 
 
 def held_out() -> Column:
@@ -189,29 +192,34 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` and its columns with ``_score``: the probability that ``labels.quality`` is 1, from the whole text alone.
+def scored(docs: DataFrame, labels: DataFrame, into: str = "_score") -> DataFrame:
+    """``docs`` and its columns with ``into``: the probability that ``labels.quality`` is 1, from the whole text alone.
 
     Word vectors come from all texts. The network learns from labelled documents that aren't held out, at most
-    ``MOST_LABELLED``; every fifth calibrates. Several labels of one doc_id count as their rounded mean; labels other than 0
-    and 1, and null ids, are ignored. Null texts are scored as empty ones. Rows are neither lost nor added; a column
-    ``_score`` that is there already is replaced.
+    ``MOST_LABELLED``; every fifth calibrates. Several labels of one doc_id count as their rounded mean, several texts as one of
+    them; labels other than 0 and 1, and null ids, are ignored. Null texts are scored as empty ones, texts of any length whole, equal texts
+    alike. Rows are neither lost nor added; an empty table gives none; a column ``into`` that is there already is replaced.
     """
-    docs = docs.drop("_score")
+    docs = docs.drop(into)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     vectors = word_vectors(texts)
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     sample = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("label")) \
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
     sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(vectors)
-    rows = texts.join(F.broadcast(sample), "doc_id").mapInArrow(_features(shared), "doc_id long, label int, x array<float>").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
+    seen = texts.join(F.broadcast(sample), "doc_id").mapInArrow(_features(sc.broadcast(vectors)), "doc_id long, label int, x array<float>")
+    rows = seen.groupBy("doc_id").agg(F.min("label"), F.min("x")).collect()  # one row for each labelled document, however often its id is there
+    rows.sort(key=lambda r: r[0])
     x = np.array([r[2] for r in rows], np.float64).reshape(len(rows), INPUTS)
     calibrate = np.array([zlib.crc32(b"c%d" % r[0]) % 5 == 0 for r in rows], bool)
     net = train(x, np.array([r[1] for r in rows], np.float64), calibrate)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scores(sc.broadcast((vectors, net))), schema + ", _score double")
+    return docs.withColumn(into, _scores(sc.broadcast((vectors, net)))("text"))
+
+
+def good(docs: DataFrame, labels: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more; columns unchanged, whatever their names."""
+    score = fresh("_score", docs.columns)
+    return scored(docs, labels, score).where(F.col(score) >= least).select(docs.columns)
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

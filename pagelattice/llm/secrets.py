@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelattice.llm.common import stash, table, text_or_empty
+from pagelattice.llm.common import fresh, stash, table, text_or_empty
 
 #: More alternatives of one literal run than this are not multiplied out further.
 MOST_ALTERNATIVES = 8
@@ -145,54 +145,73 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "
     A posting (trigram, document) is made for each trigram that a rule asks for; postings are intersected per document by
     the rules' Boolean queries; only candidates of a rule are verified with its expression. Rules without a mandatory
     trigram are verified on every text. Documents are keyed by a hash of id and text: were two keys equal, both would only
-    be verified for more rules. Null texts count as empty. A column of the name ``into`` is replaced.
+    be verified for more rules. Null texts count as empty, texts of any length are scanned whole, equal rows each. A column of the
+    name ``into`` is replaced, columns of other names stay. No row gives none.
     """
+    if len(rules) > 62:
+        raise ValueError("a scan takes 62 rules; give more in several scans")
     queries = [trigram_query(r.pattern) for r in rules]
     grams = sorted({g for q in queries for alternative in q for g in alternative})
-    if len(grams) > 63:
-        raise ValueError("the rules ask for more than 63 trigrams")
-    keyed = docs.drop(into).withColumn("_secret_key", F.xxhash64("doc_id", "text"))
+    docs = docs.drop(into)
+    key, rules_of = fresh("_secret_key", docs.columns), fresh("_secret_rules", docs.columns)
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     asks_nothing = [frozenset() in q for q in queries]
     always = sum(1 << i for i, free in enumerate(asks_nothing) if free)
     if grams:
         low = F.lower(F.col("text"))
         present = F.filter(F.transform(F.array(*[F.lit(g) for g in grams]), lambda g: F.when(F.contains(F.col("low"), g), g)), lambda g: g.isNotNull())
-        postings = keyed.select("_secret_key", low.alias("low")).select(F.explode(present).alias("gram"), "_secret_key")
-        bit = F.create_map(*[x for i, g in enumerate(grams) for x in (F.lit(g), F.lit(1 << i).cast("long"))])
-        held = postings.groupBy("_secret_key").agg(F.bit_or(bit[F.col("gram")]).alias("held"))
-        masks = [[sum(1 << grams.index(g) for g in alternative) for alternative in q] for q in queries]
-        wanted = F.lit(0)
-        for i, alternatives in enumerate(masks):
+        postings = keyed.select(key, low.alias("low")).select(F.explode(present).alias("gram"), key)
+        words = [grams[i:i + 63] for i in range(0, len(grams), 63)]  # bits of one long each
+        bits = [F.create_map(*[x for i, g in enumerate(word) for x in (F.lit(g), F.lit(1 << i).cast("long"))]) for word in words]
+        held = postings.groupBy(key).agg(*[F.coalesce(F.bit_or(bit[F.col("gram")]), F.lit(0)).cast("long").alias(f"held{i}") for i, bit in enumerate(bits)])
+
+        def holds_all(alternative) -> Column:
+            out = F.lit(True)
+            for i, word in enumerate(words):
+                mask = F.lit(sum(1 << word.index(g) for g in alternative if g in word)).cast("long")
+                out = out & (F.col(f"held{i}").bitwiseAND(mask) == mask)
+            return out
+
+        wanted = F.lit(0).cast("long")
+        for i, alternatives in enumerate(queries):
             if not asks_nothing[i]:
                 holds = F.lit(False)
-                for m in alternatives:
-                    holds = holds | (F.col("held").bitwiseAND(F.lit(m).cast("long")) == F.lit(m).cast("long"))
-                wanted = wanted.bitwiseOR(F.when(holds, F.lit(1 << i)).otherwise(F.lit(0)))
-        candidates = stash(held.select("_secret_key", wanted.alias("_secret_rules")).where("_secret_rules > 0"))
-        keyed = keyed.join(candidates, "_secret_key", "left")
+                for alternative in sorted(alternatives, key=sorted):
+                    holds = holds | holds_all(alternative)
+                wanted = wanted.bitwiseOR(F.when(holds, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+        candidates = stash(held.select(key, wanted.alias(rules_of)).where(F.col(rules_of) > 0))
+        keyed = keyed.join(candidates, key, "left")
     else:
-        keyed = keyed.withColumn("_secret_rules", F.lit(None).cast("int"))
-    asked = F.coalesce(F.col("_secret_rules"), F.lit(0)).bitwiseOR(F.lit(always))
+        keyed = keyed.withColumn(rules_of, F.lit(None).cast("long"))
+    asked = F.coalesce(F.col(rules_of), F.lit(0)).bitwiseOR(F.lit(always))
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     found = F.array_sort(F.concat(*[F.when(asked.bitwiseAND(F.lit(1 << i)) > 0, _spans(text_or_empty(), r, i)).otherwise(none) for i, r in enumerate(rules)]))
-    return keyed.withColumn(into, found).drop("_secret_key", "_secret_rules")
+    return keyed.withColumn(into, found).drop(key, rules_of)
 
 
 def redacted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every found span replaced by ``mask`` (overlapping spans by one); ``n_chars`` follows where it is there.
-    Null texts stay null, texts without a secret unchanged. Rows are neither lost nor added."""
+    Null texts stay null, texts without a secret unchanged, columns of any name as they are. Rows are neither lost nor added."""
 
     def step(acc, s):
         new = s["start"] >= acc["at"]
         text = F.when(new, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), text.alias("out"))
 
-    cut = F.aggregate("_secret_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text")
+    cut = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
                       lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    out = secret_spans(docs, rules, "_secret_found").withColumn("text", F.when(F.size("_secret_found") > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secret_found") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    out = secret_spans(rows, rules, "found").select("row", F.size("found").alias("n"), F.when(F.size("found") > 0, cut).otherwise(F.col("text")).alias("new"))
+
+    def value(c: str) -> Column:
+        old = F.col("row")[c]
+        if c.lower() == "text":
+            return F.col("new").alias(c)
+        if c.lower() == "n_chars":
+            return F.when(F.col("n") > 0, F.char_length("new").cast(docs.schema[c].dataType)).otherwise(old).alias(c)
+        return old.alias(c)
+
+    return out.select(*[value(c) for c in docs.columns])
 
 
 def _is(value: int):
