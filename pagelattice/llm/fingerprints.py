@@ -24,10 +24,26 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _starts(items: Column, by=lambda x: x) -> Column:
+    """Where the runs of equal ``by(item)`` begin in a sorted array, from 0."""
+    first = F.transform(items, lambda x, i: F.when((i == 0) | (by(x) != by(F.get(items, i - 1))), i))
+    return F.filter(first, lambda i: i.isNotNull())
+
+
+def _each_run(items: Column, starts: Column, body) -> Column:
+    """``body(start, length)`` of each run, as an array."""
+    return F.transform(starts, lambda a, k: body(a, F.coalesce(F.get(starts, k + 1), F.size(items)) - a))
+
+
+def paragraphs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PARAGRAPH}}}"), F.lit(0))
+
+
 def digests(text: Column) -> Column:
-    """64-bit digests of the paragraphs; the i-th copy of a paragraph has a digest of its own, so equal multisets and no others agree."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PARAGRAPH}}}"), F.lit(0)), lambda p: F.xxhash64(p))
-    return let(F.array_sort(parts), lambda s: F.transform(s, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(s, h).cast("int"))))
+    """64-bit digests of the paragraphs; the i-th copy of a paragraph has a digest of its own, so equal multisets and no others agree.
+    Sorting apart, the work grows with the number of paragraphs: copies stand in runs, and are counted run by run."""
+    return let(F.array_sort(F.transform(paragraphs(text), lambda p: F.xxhash64(p))), lambda s: let(_starts(s), lambda st: F.zip_with(
+        s, F.flatten(_each_run(s, st, lambda a, n: F.sequence(F.lit(0), n - 1))), lambda h, nth: F.xxhash64(h, nth))))
 
 
 def _check(key: Column) -> Column:
@@ -62,42 +78,55 @@ def subtract(x: Column, y: Column) -> Column:
     return F.zip_with(x, y, lambda a, b: F.struct((a["n"] - b["n"]).cast("int").alias("n"), a["key"].bitwiseXOR(b["key"]).alias("key"), a["chk"].bitwiseXOR(b["chk"]).alias("chk")))
 
 
+ENTRIES = "array<struct<key:bigint,side:int>>"
+
+
 def peel(cells: Column, width: int) -> Column:
-    """The number of digests that only one side has, or null if a cell stays mixed. A cell of count 1 or -1 whose check sum
-    fits holds a single digest; it is taken out of its three cells, which may leave others single."""
+    """The digests that only one side has, as (key, side) with side 1 or -1, or null if a cell stays mixed. A cell of count 1 or -1
+    whose check sum fits holds a single digest; it is taken out of its three cells, which may leave others single."""
 
     def turn(state, _):
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"])))
         found = F.array_distinct(F.transform(single, lambda c: F.struct(c["key"].alias("key"), c["n"].alias("side"))))
         entries = F.transform(found, lambda f: F.struct(f["key"].alias("key"), _check(f["key"]).alias("chk"), f["side"].alias("n"), _entry(f["key"], 1, width)["at"].alias("at")))
         return F.when(F.exists(state["cells"], lambda c: F.abs(c["n"]) == 1), let(entries, lambda e: F.struct(
-            F.transform(state["cells"], lambda c, j: _added(c, e, j, -1)).alias("cells"), (state["size"] + F.size(e)).alias("size")))).otherwise(state)
+            F.transform(state["cells"], lambda c, j: _added(c, e, j, -1)).alias("cells"),
+            F.concat(state["found"], F.transform(e, lambda x: F.struct(x["key"].alias("key"), x["n"].alias("side")))).cast(ENTRIES).alias("found")))).otherwise(state)
 
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(8 if width < 64 else 16)), F.struct(cells.alias("cells"), F.lit(0).alias("size")), turn)
-    return let(end, lambda e: F.when(~F.exists(e["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)), e["size"]))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(8 if width < 64 else 16)), F.struct(cells.alias("cells"), F.array().cast(ENTRIES).alias("found")), turn)
+    return let(end, lambda e: F.when(~F.exists(e["cells"], lambda c: (c["n"] != 0) | (c["key"] != 0) | (c["chk"] != 0)), e["found"]))
 
 
 def _retried(x: Column, y: Column) -> Column:
-    """Difference of two digest sets in blocks chosen by digest: larger sketches until one peels, at last by the digests."""
-    blocks = F.ceil((F.size(x) + F.size(y)) / F.lit(BLOCK)).cast("int")
+    """The same for two digest sets dealt to blocks by digest: larger sketches until one peels, at last (never seen in tests of the
+    sketch sizes) by the digests themselves. Blocks are runs of one sorted list, so the work grows with the number of digests."""
+    blocks = F.greatest(F.lit(1), F.ceil((F.size(x) + F.size(y)) / F.lit(BLOCK)).cast("int"))
 
-    def block(b):
-        def mine(keys):
-            return F.filter(keys, lambda k: F.pmod(k, blocks) == b)
+    def tagged(keys, side):
+        return F.transform(keys, lambda k: F.struct(F.pmod(k, blocks).alias("b"), k.alias("key"), F.lit(side).alias("side")))
 
-        def tried(p):
-            return F.coalesce(*[peel(subtract(sketch(p["x"], w), sketch(p["y"], w)), w) for w in RETRIES],
-                              F.size(F.array_except(p["x"], p["y"])) + F.size(F.array_except(p["y"], p["x"])))
-        return let(F.struct(mine(x).alias("x"), mine(y).alias("y")), tried)
+    def tried(p):
+        exact = F.concat(*[F.transform(F.array_except(p[a], p[b]), lambda k, s=side: F.struct(k.alias("key"), F.lit(s).alias("side"))) for a, b, side in (("x", "y", 1), ("y", "x", -1))])
+        return F.coalesce(*[peel(subtract(sketch(p["x"], w), sketch(p["y"], w)), w) for w in RETRIES], exact.cast(ENTRIES))
 
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(blocks - 1, F.lit(0))), F.lit(0), lambda total, b: total + block(b))
+    def block(items):
+        def mine(side):
+            return F.transform(F.filter(items, lambda e: e["side"] == side), lambda e: e["key"])
+        return let(F.struct(mine(1).alias("x"), mine(-1).alias("y")), tried)
+
+    return let(F.array_sort(F.concat(tagged(x, 1), tagged(y, -1))), lambda m: let(_starts(m, lambda e: e["b"]), lambda st: F.flatten(
+        _each_run(m, st, lambda a, n: let(F.slice(m, a + 1, n), block)))))
+
+
+def differing(x: Column, y: Column, x_cells: Column, y_cells: Column) -> Column:
+    """(key, side) of each digest that only ``x`` (side 1) or only ``y`` (side -1) has, recovered from the sketches' difference."""
+    return F.coalesce(peel(subtract(x_cells, y_cells), FIRST), _retried(x, y))
 
 
 def likeness(x: Column, y: Column, x_cells: Column, y_cells: Column) -> Column:
     """Shared digests over all digests (1 for two texts without paragraphs), by the difference that the sketches give."""
-    differing = F.coalesce(peel(subtract(x_cells, y_cells), FIRST), _retried(x, y))
     both = F.size(x) + F.size(y)
-    return F.when(both == 0, F.lit(1.0)).otherwise(let(differing, lambda d: (both - d).cast("double") / (both + d).cast("double")))
+    return F.when(both == 0, F.lit(1.0)).otherwise(let(F.size(differing(x, y, x_cells, y_cells)), lambda d: (both - d).cast("double") / (both + d).cast("double")))
 
 
 def written(cells: Column) -> Column:
@@ -136,14 +165,31 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("not halo").drop("_k", "_b", "halo", "wrap")
 
 
+def changed_paragraphs(pairs: DataFrame) -> DataFrame:
+    """``pairs(id, text, other)`` -> ``id, side, paragraph``: the paragraphs that only ``text`` (side 1) or only ``other`` (side -1) has, as
+    often as it has more of them, found by their recovered digests. Null texts count as empty; ids name pairs, so no two
+    rows may share one."""
+    rows = pairs.select("id", text_or_empty("text").alias("text"), text_or_empty("other").alias("other"))
+    keyed = rows.select("id", "text", "other", digests(F.col("text")).alias("x"), digests(F.col("other")).alias("y"))
+    keyed = keyed.select("*", sketch(F.col("x")).alias("xc"), sketch(F.col("y")).alias("yc"))
+    found = keyed.select("id", F.explode(differing(F.col("x"), F.col("y"), F.col("xc"), F.col("yc"))).alias("d")).select("id", "d.side", "d.key")
+
+    def listed(column: str, side: int) -> DataFrame:
+        """Each distinct paragraph with its copies' digests."""
+        counts = rows.select("id", F.explode(paragraphs(F.col(column))).alias("paragraph")).groupBy("id", "paragraph").agg(F.count("*").cast("int").alias("n"))
+        return counts.select("id", F.lit(side).alias("side"), "paragraph", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.xxhash64(F.xxhash64("paragraph"), i))).alias("key"))
+
+    return found.join(listed("text", 1).unionByName(listed("other", -1)), ["id", "side", "key"]).select("id", "side", "paragraph")
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text, ...)`` -> ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
     The edited text has the last quarter (whole code points, rounded down) replaced by as many from the start of the next
     document by id, or all it has. A fingerprint is a sketch of twelve cells of count, key xor and check xor over the
     paragraph digests; equal texts have equal ones. Two versions' sketches are subtracted and peeled; where that leaves a
-    mixed cell, the paragraphs are dealt to blocks of about sixteen and larger sketches are tried, so the work grows with
-    the number of paragraphs. Null texts count as empty; two empty texts have likeness 1. A table of one row follows
+    mixed cell, the paragraphs are dealt to blocks of about sixteen and larger sketches are tried; so, sorting apart, the work grows
+    with the number of paragraphs, of very long texts too. Null texts count as empty; two empty texts have likeness 1. A table of one row follows
     itself. Columns besides ``doc_id`` and ``text`` are ignored.
     """
     source = docs.select(F.col("doc_id"), text_or_empty().alias("text"))
