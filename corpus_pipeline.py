@@ -1,28 +1,39 @@
-"""From raw documents to token ids: quality, near-duplicates, secrets, mixing, encoding. Each stage works on what the one before kept."""
+"""From raw documents to token ids: quality, near-duplicates, secrets, mixing, encoding. Each stage works on what the one before kept.
+
+Null texts count as empty ones, texts of any length are treated whole, an empty table gives none, and columns beside ``doc_id`` and
+``text`` stay as they are, whatever their names; rows that share an id are each treated by their own text."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pagelattice.llm.bpe import encode
 from pagelattice.llm.common import stash, table
 from pagelattice.llm.mixing import resampled
-from pagelattice.llm.near_dedup import near_duplicates
-from pagelattice.llm.quality import THRESHOLD, scored
+from pagelattice.llm.near_dedup import one_of_each
+from pagelattice.llm.quality import good
 from pagelattice.llm.secrets import redacted
 
 
+def thin(spark: SparkSession) -> None:
+    """Whole texts go to Python in smaller batches than the default of 10,000 rows: less memory in executors and workers alike."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(size)) not in range(1, 2001):
+        spark.conf.set(size, "2000")
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of good quality is below the threshold go."""
-    return scored(docs, table(spark, sf_dir, "labels")).where(F.col("_score") >= THRESHOLD).select(docs.columns)
+    thin(spark)
+    return good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays."""
-    gone = stash(near_duplicates(docs, width=5, percent=80).where("not kept").select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) the document with the smallest id stays.
+    Of rows that share an id, each is judged by its own text."""
+    thin(spark)
+    return one_of_each(docs, width=5, percent=80)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,11 +43,13 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay as often as the rates say that bring the expected words of the domains to their targets: plain ones stay."""
+    thin(spark)
     return resampled(docs, table(spark, sf_dir, "labels"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, decoded again as a check."""
+    thin(spark)
     return encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
