@@ -18,14 +18,16 @@ def event_stream(spark: SparkSession, folder: str, file_glob: str, files_per_tri
 
 
 def drain(stream: DataFrame, mode: str, name: str = "stream") -> DataFrame:
-    """Run an available-now query into parquet and return what it wrote. A complete result
-    replaces the table in each trigger, an append or update result is added to it."""
+    """Run an available-now query into parquet and return what it wrote. A complete result replaces the table in each trigger; an append
+    or update result goes to the trigger's own folder, so one that is repeated replaces its rows."""
     out, marks = scratch_path(stream.sparkSession, name), scratch_path(stream.sparkSession, name + "-marks")
-    write = "overwrite" if mode == "complete" else "append"
-    query = (stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", marks)
-             .foreachBatch(lambda df, _: df.write.mode(write).parquet(out)).start())
+
+    def save(df: DataFrame, trigger: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/trigger={0 if mode == 'complete' else trigger}")
+
+    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", marks).foreachBatch(save).start()
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(out)
+    return stream.sparkSession.read.parquet(out).drop("trigger")
 
 
 def _stamp(c: str) -> Column:
