@@ -100,7 +100,9 @@ UNION ALL SELECT 'translations', page_id, region_id, concat_ws('|', CAST(region_
 UNION ALL SELECT 'blocks', page_id, region_id, concat_ws('|', CAST(region_id%2=0 AS VARCHAR), CAST((b-t)*125 AS BIGINT), 'g'||region_id, 'T'||region_id) FROM regions""")
 def _(t):
     """All stages written as page documents, read back, and each table's rows told apart."""
-    x = T.explode_telemetry(T.parse_telemetry(full_docs(t)))
+    path = scratch_path(t._spark, "documents")
+    full_docs(t).write.parquet(path)
+    x = T.explode_telemetry(T.parse_telemetry(t._spark.read.parquet(path)))
 
     def rows(kind, key, *values):
         return x[kind].select(F.lit(kind).alias("kind"), "page_id", F.col(key).alias("item_id"), F.concat_ws("|", *[F.col(v).cast("string") if isinstance(v, str) else v.cast("string") for v in values]).alias("v"))
