@@ -6,12 +6,16 @@ gathers an unbounded number of rows; reading simply unites the parts. Counts in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import udtf
 
 from pagelattice.functions import geometry as G
 from pagelattice.operators.joins import id_buckets
 from pagelattice.operators.ranking import ranked
+from pagelattice.session import cut_lineage
 
 MAX_ITEMS = 2000
 RECT = "left:int,top:int,right:int,bottom:int"
@@ -57,6 +61,19 @@ def explode_telemetry(pages: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def telemetry_rows(pages: DataFrame, rows: dict[str, Callable[[Column], list[Column]]]) -> DataFrame:
+    """(stage, page_id, and what ``rows[stage](item)`` gives) for each item of the named stages, all from one reading of the documents.
+    ``group_lines`` items have the fields ``group`` and ``line``."""
+    def items(stage):
+        if stage == "group_lines":
+            each = lambda g: F.transform(g["reading_order_lines"], lambda x: F.struct(F.lit(stage).alias("stage"), *rows[stage]({"group": g, "line": x})))
+            return F.flatten(F.filter(F.transform(STAGES["groups"], each), lambda xs: xs.isNotNull()))
+        return F.transform(STAGES[stage], lambda x: F.struct(F.lit(stage).alias("stage"), *rows[stage](x)))
+
+    told = F.flatten(F.filter(F.array(*[items(s) for s in rows]), lambda xs: xs.isNotNull()))
+    return pages.select(F.col("page_index").alias("page_id"), F.explode(told).alias("x")).select("page_id", "x.*")
+
+
 def _rect() -> list[Column]:
     return [F.col(s).alias(n) for s, n in zip("ltrb", ("left", "top", "right", "bottom"))]
 
@@ -69,13 +86,63 @@ def _point(x: str, y: str) -> Column:
     return F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
 
 
-def _with_lines(groups: DataFrame, group_lines: DataFrame | None) -> DataFrame:
-    """Groups with their lines in reading order; a group is one object, so its lines stand together."""
-    if group_lines is None:
-        return groups.withColumn("_lines", F.lit(None).cast("array<struct<line_id:bigint>>"))
+#: Stands for the missing number of a page while parts are numbered.
+NO_PAGE = -(1 << 63)
+
+
+def _page_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per page: rows of each table as ``n_<name>``, lines by category and conjoined partitions."""
+    number = lambda kind: F.count_if(F.col("category") == kind).cast("int")
+    more = {"lines": [number(k).alias(f"n_{k}") for k in ("BUBBLED", "ORPHAN", "SFX")], "partitions": [F.count_if("is_conjoined").cast("int").alias("n_conjoined")]}
+    counts = [t.groupBy("page_id").agg(F.count(F.lit(1)).cast("int").alias(f"n_{n}"), *more.get(n, [])) for n, t in tables.items()]
+    stacked = reduce(lambda p, q: p.unionByName(q, allowMissingColumns=True), counts)
+    return cut_lineage(stacked.groupBy("page_id").agg(*[F.max(c).alias(c) for c in stacked.columns if c != "page_id"]))
+
+
+def _listed(row_id: str, item: Column) -> Column:
+    """Aggregate: the items in id order."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("_k"), item.alias("x")))), lambda e: e["x"])
+
+
+def _lines_of_groups(group_lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group its lines in reading order; a group is one object, so its lines stand together."""
     line = F.struct(F.col("line_id").cast("long").alias("line_id"), F.col("reading_order").cast("int").alias("reading_order"), *_rect(), F.col("text").alias("recognized_text"))
-    listed = group_lines.groupBy("page_id", "group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "line_id", line.alias("x")))), lambda e: e["x"]).alias("_lines"))
-    return groups.join(listed, ["page_id", "group_id"], "left")
+    return group_lines.groupBy(*keys, "group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "line_id", line.alias("x")))), lambda e: e["x"]).alias("_lines"))
+
+
+def _with_lines(groups: Column, lists: Column) -> Column:
+    """Group objects with the lines listed under their id, null where there are none."""
+    of = lambda g: F.get(F.filter(lists, lambda e: e["group_id"] == g["group_id"]), F.lit(0))["_lines"]
+    return F.transform(groups, lambda g: g.withField("reading_order_lines", of(g)))
+
+
+def _whole_pages(sizes: DataFrame, kinds: dict, group_lines: DataFrame | None) -> DataFrame:
+    """Pages with the items of each kind as an array. Every table is spread by page once, and the page rows meet where they are."""
+    d = sizes.withColumn("part", F.lit(0).cast("long"))
+    for name, (table, row_id, item) in kinds.items():
+        d = d.join(table.groupBy("page_id").agg(_listed(row_id, item).alias(name)), "page_id", "left")
+    if group_lines is not None:
+        lists = _lines_of_groups(group_lines, ["page_id"]).groupBy("page_id").agg(F.collect_list(F.struct("group_id", "_lines")).alias("_lists"))
+        d = d.join(lists, "page_id", "left").withColumn("groups", _with_lines(F.col("groups"), F.col("_lists"))).drop("_lists")
+    return d
+
+
+def _pages_in_parts(sizes: DataFrame, kinds: dict, group_lines: DataFrame | None, max_items: int) -> DataFrame:
+    """As ``_whole_pages`` for pages with more than ``max_items`` rows of a kind: numbered in buckets, ``max_items`` to a part."""
+    known = lambda df: df.withColumn("page_id", F.coalesce("page_id", F.lit(NO_PAGE)))
+    sizes = known(sizes)
+    stacked = None
+    for name, (table, row_id, item) in kinds.items():
+        table = known(table).join(sizes.select("page_id"), "page_id", "left_semi")
+        rows = ranked(table, ["page_id"], [F.col(row_id)], id_buckets(row_id), "_rn").withColumn("part", F.floor((F.col("_rn") - 1) / max_items))
+        if name == "groups" and group_lines is not None:
+            listed = _lines_of_groups(known(group_lines).join(sizes.select("page_id"), "page_id", "left_semi"), ["page_id"])
+            rows = rows.join(listed, ["page_id", "group_id"], "left")
+            item = item.withField("reading_order_lines", F.col("_lines"))
+        g = rows.groupBy("page_id", "part").agg(_listed("_rn", item).alias(name))
+        stacked = g if stacked is None else stacked.unionByName(g, allowMissingColumns=True)
+    d = stacked.groupBy("page_id", "part").agg(*[F.first(n, ignorenulls=True).alias(n) for n in kinds]).join(sizes, "page_id", "left")
+    return d.withColumn("page_id", F.when(F.col("page_id") != NO_PAGE, F.col("page_id")))
 
 
 def to_page_json(boxes: DataFrame, regions: DataFrame, lines: DataFrame, page_w: int, page_h: int, max_items: int = MAX_ITEMS, *,
@@ -100,22 +167,22 @@ def to_page_json(boxes: DataFrame, regions: DataFrame, lines: DataFrame, page_w:
             F.col("region_id").alias("bubble_index"), _rect_struct().alias("bubble_rect"), "is_conjoined", "conf_conj", _point("p1x_raw", "p1y_raw").alias("p1_raw"), _point("p2x_raw", "p2y_raw").alias("p2_raw"),
             _point("p1x", "p1y").alias("p1_snapped"), _point("p2x", "p2y").alias("p2_snapped"), F.col("notches").alias("candidate_notches"), F.col("lobe_a").alias("lobe_a_line_ids"), F.col("lobe_b").alias("lobe_b_line_ids")))
     if groups is not None:
-        kinds["groups"] = (_with_lines(groups, group_lines), "group_id", F.struct(
-            "group_id", "is_bubble", F.col("region_id").alias("bubble_index"), "category", *_rect(), F.col("text").alias("recognized_text"), F.col("_lines").alias("reading_order_lines")))
+        kinds["groups"] = (groups, "group_id", F.struct("group_id", "is_bubble", F.col("region_id").alias("bubble_index"), "category", *_rect(), F.col("text").alias("recognized_text")))
     if translations is not None:
         kinds["translations"] = (translations, "group_id", F.struct("group_id", "is_bubble", "category", F.col("text").alias("recognized_text"), F.col("translated").alias("translated_text"), *_rect()))
     if blocks is not None:
         kinds["blocks"] = (blocks, "group_id", F.struct("group_id", "is_bubble", "font_size", "ja", "en"))
-    stacked = None
-    for name, (d, row_id, item) in kinds.items():
-        d = ranked(d, ["page_id"], [F.col(row_id)], id_buckets(row_id), "_rn").withColumn("part", F.floor((F.col("_rn") - 1) / max_items))
-        g = d.groupBy("page_id", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", item.alias("x")))), lambda x: x["x"]).alias(name))
-        stacked = g if stacked is None else stacked.unionByName(g, allowMissingColumns=True)
-    d = stacked.groupBy("page_id", "part").agg(*[F.first(n, ignorenulls=True).alias(n) for n in kinds])
-    number = lambda kind: F.count_if(F.col("category") == kind).cast("int")
-    more = {"lines": [number(k).alias(f"n_{k}") for k in ("BUBBLED", "ORPHAN", "SFX")], "partitions": [F.count_if("is_conjoined").cast("int").alias("n_conjoined")]}
-    for name, (table, _, _) in kinds.items():
-        d = d.join(table.groupBy("page_id").agg(F.count("*").cast("int").alias(f"n_{name}"), *more.get(name, [])), "page_id", "left")
+    tables = {name: table for name, (table, _, _) in kinds.items()}
+    sizes = _page_sizes(tables if group_lines is None else tables | {"group_lines": group_lines})
+    over = [F.col(c) > max_items for c in sizes.columns if c in {f"n_{k}" for k in (*tables, "group_lines")}]
+    full = F.coalesce(reduce(lambda p, q: p | q, [F.coalesce(x, F.lit(False)) for x in over]), F.lit(False)) | F.col("page_id").isNull()
+    hot = sizes.where(full)
+    if hot.isEmpty():
+        d = _whole_pages(sizes, kinds, group_lines)
+    else:
+        few = {n: (t.join(hot.select("page_id"), "page_id", "left_anti").where("page_id IS NOT NULL"), *more) for n, (t, *more) in kinds.items()}
+        said = None if group_lines is None else group_lines.join(hot.select("page_id"), "page_id", "left_anti").where("page_id IS NOT NULL")
+        d = _whole_pages(sizes.where(~full), few, said).unionByName(_pages_in_parts(hot, kinds, group_lines, max_items))
     size = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
     state = lambda c: F.when(size(c) > 0, "COMPLETED").otherwise("PENDING").alias("status")
     doc = [
