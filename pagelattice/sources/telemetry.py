@@ -101,13 +101,13 @@ def _page_sizes(tables: dict[str, DataFrame]) -> DataFrame:
 
 def _listed(row_id: str, item: Column) -> Column:
     """Aggregate: the items in id order."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(F.col(row_id).alias("_k"), item.alias("x")))), lambda e: e["x"])
+    return F.transform(F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("_k"), item.alias("x")))), lambda e: e["x"])
 
 
 def _lines_of_groups(group_lines: DataFrame, keys: list[str]) -> DataFrame:
     """Per group its lines in reading order; a group is one object, so its lines stand together."""
     line = F.struct(F.col("line_id").cast("long").alias("line_id"), F.col("reading_order").cast("int").alias("reading_order"), *_rect(), F.col("text").alias("recognized_text"))
-    return group_lines.groupBy(*keys, "group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("reading_order", "line_id", line.alias("x")))), lambda e: e["x"]).alias("_lines"))
+    return group_lines.groupBy(*keys, "group_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("reading_order", "line_id", line.alias("x")))), lambda e: e["x"]).alias("_lines"))
 
 
 def _with_lines(groups: Column, lists: Column) -> Column:
